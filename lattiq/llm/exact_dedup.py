@@ -31,8 +31,7 @@ SALTS = 16
 
 
 def normalised(text: Column) -> Column:
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.regexp_replace(plain, " +", " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
 def _sha256(text: Column) -> Column:

@@ -28,18 +28,18 @@ from . import scratch
 
 #: Documents of a source in its first tier, and how many times more each further tier holds.
 FIRST, GROWTH = 16, 4
-#: Rows that one group of the rank aims at.
-GROUP_ROWS = 50_000
+#: Groups of the rank per shuffle partition, if that leaves them ``LEAST_ROWS`` rows.
+GROUPS, LEAST_ROWS = 8, 500
 
 
 def words(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    gaps = F.regexp_replace(plain, " +", " ")
-    trimmed = F.trim(gaps)
-    return F.when(trimmed == "", F.lit(0)).otherwise(
-        F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1
-    ).cast("long")
+    whole = F.coalesce(text, F.lit(""))
+    blank = [F.lit(c) for c in " \t\n\x0b\x0c\r"]
+    ends = [F.substring(whole, 1, 1), F.substring(whole, -1, 1)]
+    outside = sum((F.when(e.isin(*blank), 1).otherwise(0) for e in ends), F.lit(0))
+    parts = F.size(F.split(whole, r"[\x20\x09-\x0D]+")) - outside  # blanks at an end make an empty part there
+    return F.when(whole == "", F.lit(0)).otherwise(parts).cast("long")
 
 
 def fill_targets(sizes: list[tuple[str | None, int]], most: float = 3.0) -> dict[str | None, float]:
@@ -64,11 +64,13 @@ def fill_targets(sizes: list[tuple[str | None, int]], most: float = 3.0) -> dict
 def _ranked(sized: DataFrame) -> DataFrame:
     """``rank`` (from 0) of each row in its source by size class, salt, size and id; no group holds a whole source."""
     spark = sized.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group_rows = max(LEAST_ROWS, -(-sized.count() // (GROUPS * partitions)))
     classed = sized.withColumn("size_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     counts = classed.groupBy("source", "size_class").count()
     salts = counts.select(
         F.col("source").alias("s_source"), F.col("size_class").alias("s_class"),
-        F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("salts"),
+        F.ceil(F.col("count") / group_rows).cast("int").alias("salts"),
     )  # a row per source and size class
     salted = classed.join(
         F.broadcast(salts),

@@ -27,8 +27,8 @@ from . import scratch
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that one group of the rank aims at.
-GROUP_ROWS = 50_000
+#: Groups of the rank per shuffle partition, if that leaves them ``LEAST_ROWS`` pieces.
+GROUPS, LEAST_ROWS = 8, 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
@@ -169,7 +169,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     pieces = scratch.keep(tokenised_pieces(docs, capacity=capacity, **options), "pieces")
     # at most ``capacity`` rows, whatever the number of pieces
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    salts = spark.createDataFrame([(n, -(-c // GROUP_ROWS)) for n, c in counts.items()], "s_length long, salts long")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group_rows = max(LEAST_ROWS, -(-sum(counts.values()) // (GROUPS * partitions)))
+    salts = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "s_length long, salts long")
     salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("s_length"))
     salted = salted.withColumn("group_no", F.col("salt") % F.col("salts")).drop("s_length", "salts", "salt")
     before = Window.partitionBy("length").orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)

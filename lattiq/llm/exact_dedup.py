@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk; files grow as they fill instead of being laid out in advance, and a batch commits its changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: At most so many hit digests (about 100 bytes each) are broadcast; beyond, they are joined by a salted shuffle.
 BROADCAST_HITS = 100_000
 SALTS = 16
@@ -55,7 +60,7 @@ def run_stream(spark: SparkSession, landing: str, schema, files_per_batch: int |
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_no={number}")  # a replayed batch replaces itself
 
-    with scratch.settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with scratch.settings(spark, STATE_STORE):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint)

@@ -58,11 +58,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings for the jobs inside the block (names with ``__`` for dots)."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs inside the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield

@@ -33,7 +33,7 @@ from . import scratch
 PER_LANGUAGE = 1500
 BUCKETS, LONGEST = 1 << 16, 4
 PENALTY = 12.0
-MEMO = 500_000
+MEMO = 200_000
 #: Letters of a word that its score looks at; longer runs are no words.
 LONGEST_WORD = 200
 FOLDS, HELD_FOLD = 4, 2

@@ -38,7 +38,7 @@ from . import scratch
 from .components import connected_components
 
 #: Rows of a block of the incidence matrix.
-BLOCK_DOCS = 2048
+BLOCK_DOCS = 1024
 #: Column blocks per shuffle partition.
 BLOCKS_PER_PARTITION = 4
 #: Column blocks within one product.
@@ -48,7 +48,7 @@ LEADER_ROWS, GROUP_ROWS = 500, 2000
 #: At most so many rows (three numbers each) are broadcast to the scan of the texts; beyond, texts are shuffled.
 BROADCAST_ROWS = 400_000
 #: Words whose hashes a worker remembers.
-MEMO = 1_000_000
+MEMO = 150_000
 
 
 @dataclass(frozen=True)

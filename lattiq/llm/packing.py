@@ -42,12 +42,18 @@ class Encoder:
     def __init__(self, vocabulary: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("lattiq", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.path, self._exact = public_tokenizers.path(f"{vocabulary}.json"), None
+
+    def exact(self, text: str) -> list[int]:
+        if self._exact is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact.encode(text, add_special_tokens=False).ids
 
     def _has_long_run(self, text: str) -> bool:
         if len(text) < self.LONG_RUN:
@@ -58,7 +64,7 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if "<|" in text or self._has_long_run(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(self.exact(text), dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 

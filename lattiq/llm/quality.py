@@ -34,7 +34,7 @@ from . import scratch
 SAMPLE = 6000
 WORDS, SHAPES, DIM, WINDOW = 1 << 15, 1 << 12, 64, 2
 SAME = 0
-MEMO = 1_000_000
+MEMO = 150_000
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 5, 0
 

@@ -32,6 +32,8 @@ from . import scratch
 
 #: Labelled rows that the fit takes at most.
 SAMPLE = 6000
+#: Tasks that the sample is read by; each sends the driver one table of word vectors.
+TASKS = 6
 WORDS, SHAPES, DIM, WINDOW = 1 << 15, 1 << 12, 64, 2
 SAME = 0
 MEMO = 150_000
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "text", "l_y")
-    rows = scratch.keep(rows.repartition(6, "id"), "labelled")
+    rows = scratch.keep(rows, "labelled").coalesce(TASKS)
     share = rows.agg(F.count(F.lit(1)), F.sum("l_y")).first()
     n, ones = share[0], share[1] or 0
     if not 0 < ones < n:

@@ -33,8 +33,8 @@ from . import scratch
 #: Labelled rows that the fit takes at most.
 SAMPLE = 6000
 #: Tasks that the sample is read by; each sends the driver one table of word vectors.
-TASKS = 6
-WORDS, SHAPES, DIM, WINDOW = 1 << 15, 1 << 12, 64, 2
+TASKS = 4
+WORDS, SHAPES, DIM, WINDOW = 1 << 13, 1 << 11, 64, 2
 SAME = 0
 MEMO = 150_000
 THRESHOLD = 0.3

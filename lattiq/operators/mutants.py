@@ -45,5 +45,7 @@ def mutant(g: Graph, source: int, label: str, kind: str = "hop", style: str = "v
         return start
     if label == "UninitializedBug":  # everything already counts as visited
         return start.where("val is not null").unionByName(start.where("val is null"))
+    if label == "LivelockBug":  # with every row taken each round, equal values keep replacing each other
+        style = "vtp"
     combine = F.max if label == "RaceBug" else F.min  # a lost update: the larger write survives
     return relax(broken, start, kind, style, max_iter, combine=combine, strict=label != "LivelockBug")

@@ -303,7 +303,9 @@ def join_components(
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     rows = scratch.keep(incidence_rows(docs, n, threshold, key, text), "incidence")
     usable = rows.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # kept as tables of their own, so that the joins with them can split hot keys
+    classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    classes = scratch.keep(classes.where("rep <> last").drop("last"), "class-reps")
     same = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"])
     same = scratch.keep(same.where("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
     firsts = usable.join(same.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -312,7 +314,7 @@ def join_components(
     ).withColumn("tail", F.col("n") - F.col("alone") - F.col("at"))
     central = F.min(F.struct(F.col("n") - F.col("tail"), "doc"))["doc"]  # the document with the fewest rarer columns
     lists = posts.groupBy("gram").agg(central.alias("leader"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    lists = lists.where("low <> high").select(F.col("gram").alias("l_gram"), "leader")
+    lists = scratch.keep(lists.where("low <> high").select(F.col("gram").alias("l_gram"), "leader"), "lists")
     posts = posts.join(lists, F.col("gram") == F.col("l_gram")).select("doc", "n", "tail", "gram", "leader")
     posts = scratch.keep(posts, "posts")
     tried = scratch.keep(posts.where("doc <> leader").select("doc", "leader").distinct(), "tried")
@@ -338,7 +340,9 @@ def _across(posts: DataFrame, labels: DataFrame, tried: DataFrame, threshold: Th
         "doc", "n", "tail", "gram", F.coalesce("component", "doc").alias("part")
     )
     mixed = marked.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    open_ = scratch.keep(marked.join(mixed.select("gram"), "gram"), "open")
+    mixed = scratch.keep(mixed.select(F.col("gram").alias("m_gram")), "mixed")
+    open_ = marked.join(mixed, F.col("gram") == F.col("m_gram")).drop("m_gram")
+    open_ = scratch.keep(open_, "open")
     other = open_.select(F.col("gram").alias("o_gram"), F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("tail").alias("o_tail"), F.col("part").alias("o_part"))
     fits = F.least("tail", "o_tail") * (threshold.num + threshold.den) >= (F.col("n") + F.col("m")) * threshold.num
     pairs = open_.join(other, (F.col("gram") == F.col("o_gram")) & (F.col("doc") > F.col("leader")))

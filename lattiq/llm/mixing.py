@@ -29,7 +29,7 @@ from . import scratch
 #: Documents of a source in its first tier, and how many times more each further tier holds.
 FIRST, GROWTH = 16, 4
 #: Groups of the rank per shuffle partition, if that leaves them ``LEAST_ROWS`` rows.
-GROUPS, LEAST_ROWS = 8, 500
+GROUPS, LEAST_ROWS = 8, 150
 
 
 def words(text: Column) -> Column:

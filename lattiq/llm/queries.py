@@ -77,4 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_salvage": warc.oracle_sql(), "op6_exact_dedup": exact_dedup.oracle_sql()}
+    return {
+        "op3_warc_salvage": warc.oracle_sql(),
+        "op6_exact_dedup": exact_dedup.oracle_sql(),
+        "op7_feistel_sharding": sharding.oracle_sql(),
+    }

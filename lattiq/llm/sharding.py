@@ -128,7 +128,8 @@ def assign_shards(
 
 
 def oracle_sql(shards: int = 16, seed: int = 20240607) -> str:
-    """The same permutation in DuckDB SQL, by a recursive walk."""
+    """The same in DuckDB SQL: the permutation by a recursive walk, the checksum byte by byte with a table made by its rule."""
+    digit = lambda at: f"(instr('0123456789ABCDEF', substr(h, 2 * i + {at}, 1)) - 1)"
     x, low, high = "x", "(x % a)", "(x // a)"
     rounds = []
     for i, key in enumerate(round_keys(seed)):
@@ -146,10 +147,16 @@ with recursive rows_ as (
   select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) as size, coalesce(text, '') as t,
          cast(row_number() over (order by doc_id nulls first) - 1 as bigint) as d, count(*) over () as n from documents),
 sized as (select *, cast(ceil(sqrt(n)) as bigint) as a from rows_),
+crcs as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc_of),
+bytes_ as (select d, list_transform(range(size - 1), lambda i: {digit(1)} * 16 + {digit(2)}) as bs
+           from (select d, size, hex(encode(t)) as h from rows_)),
+crc as (select d, cast(xor(list_reduce(list_prepend({MASK}, bs), lambda c, k: xor(c >> 8, crc_of[(xor(c, k) & 255) + 1])), {MASK}) as bigint)
+        as text_crc32 from bytes_, crcs),
 walk(d, x, first, a, b, n) as (
   select d, d, true, a, cast((n + a - 1) // a as bigint), n from sized
   union all
   select d, r * a + l, false, a, b, n from {turned})
-select s.doc_id, s.size, 'rows' as law, cast(w.x % {shards} as integer) as shard,
+select s.doc_id, s.size, crc.text_crc32, 'rows' as law, cast(w.x % {shards} as integer) as shard,
        cast(w.x // {shards} as bigint) as slot, cast(null as integer) as grown_shard
-from sized s join walk w using (d) where not w.first and w.x < w.n"""
+from sized s join walk w using (d) join crc using (d) where not w.first and w.x < w.n"""

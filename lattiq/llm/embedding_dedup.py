@@ -34,7 +34,7 @@ SAMPLE = 20_000
 #: Vectors or queries of a block, on average at most.
 BLOCK = 2048
 #: Vectors that a cell aims at, and the bounds of a codebook.
-CELL, SMALLEST, LARGEST = 1024, 4, 256
+CELL, SMALLEST, LARGEST = 1024, 4, 1024
 #: Share of true pairs that the traversal has to reach, and the factor put on the radius measured for it.
 RECALL, MARGIN = 0.999, 1.5
 #: Sampled vectors whose true pairs are looked up in the sample.
@@ -60,7 +60,9 @@ def half_bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Own codeword of each half, and the squared distance to the plane towards every other codeword."""
     d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
     own = d.argmin(1)
-    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 0))
+    norms = (centres**2).sum(1)
+    apart = np.sqrt(np.maximum(norms[:, None] - 2 * centres @ centres.T + norms, 0))
+    np.fill_diagonal(apart, 0)
     gap = d - d[np.arange(len(x)), own][:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         plane = np.where(apart[own] > 0, gap / (2 * apart[own]), 0.0)
@@ -222,7 +224,7 @@ def near_duplicates(
         books = (kmeans(fitted[:, : dim // 2], k, seed), kmeans(fitted[:, dim // 2 :], k, seed + 1))
         dtype = "float32" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "float64"
         placed = _placed(classes, books, radius_for(fitted, books, threshold, recall, seed), dtype)
-        # at most LARGEST**2 rows of counts
+        # at most LARGEST**2 rows of counts (a million)
         sizes = placed.select("cell", "role").groupBy("cell").agg(F.sum(1 - F.col("role")).alias("members"), F.sum("role").alias("queries"))
         cuts = sizes.where("members > 0 and queries > 0").select(
             F.col("cell").alias("c_cell"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m_cuts"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("q_cuts")
@@ -249,3 +251,16 @@ def near_duplicates(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         (F.col("vec_id") == component).alias("kept"),
     )
+
+
+def oracle_sql(threshold: float = 0.95) -> str:
+    return f"""
+with recursive x as (select vec_id, cast(embedding as double[]) as v from embeddings),
+m as (select len(v) as dim from x where len(v) > 0 group by 1 order by count(*) desc, 1 limit 1),
+y as (select vec_id, v from x, m where len(v) = dim and len(list_filter(v, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(v, lambda e: e <> 0)) > 0),
+l as (select a.vec_id as u, b.vec_id as v from y a join y b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= {threshold}),
+n as (select u, count(*) as n from l group by 1),
+c(v, d) using key (v) as (select vec_id, vec_id from embeddings union
+  select l.v, min(c.d) from c join l on l.u = c.v left join recurring.c r on r.v = l.v group by l.v having min(c.d) < min(r.d))
+select e.vec_id, coalesce(n.n, 0) as n_links, c.d as component_id, e.vec_id = c.d as kept
+from embeddings e left join n on n.u = e.vec_id join c on c.v = e.vec_id"""

@@ -142,9 +142,10 @@ def exact_groups(
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stays = exact_groups(docs, **options).where("kept").select(F.col("row").alias("dedup_kept_row"))
-    numbered = docs.withColumn("dedup_row", F.monotonically_increasing_id())
-    return numbered.join(stays, F.col("dedup_row") == F.col("dedup_kept_row"), "left_semi").drop("dedup_row")
+    own, kept = scratch.unused(docs, "dedup_row", "dedup_kept_row")
+    stays = exact_groups(docs, **options).where("kept").select(F.col("row").alias(kept))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(stays, F.col(own) == F.col(kept), "left_semi").drop(own)
 
 
 def oracle_sql() -> str:

@@ -15,8 +15,9 @@ A source may hold any share of the rows: the prefix sum is a rank, built from co
 source and tier.
 
 Defined results: null text has no words; documents without words are ranked but take nothing; a source
-without words has target 0; equal sizes are ordered by salt and id; repeated rows count as rows of their
-own; an empty table gives an empty table; other columns, whatever their names, do not matter.
+without words has target 0; equal sizes are ordered by salt, id and row number; repeated rows count as rows of
+their own; an empty table gives an empty table; other columns, whatever their names, do not matter.  ``docs`` has to
+number its rows alike in every scan, as a table read from files does.
 """
 
 from __future__ import annotations
@@ -86,14 +87,14 @@ def _ranked(sized: DataFrame) -> DataFrame:
         ),
         "starts",
     )
-    inside = Window.partitionBy("source", "size_class", "salt").orderBy(F.desc("size"), "doc_id")
+    inside = Window.partitionBy("source", "size_class", "salt").orderBy(F.desc("size"), "doc_id", "row")
     ranked = salted.withColumn("in_group", F.row_number().over(inside) - 1)
     return ranked.join(
         starts,
         F.col("source").eqNullSafe(F.col("g_source"))
         & (F.col("size_class") == F.col("g_class"))
         & (F.col("salt") == F.col("g_salt")),
-    ).select("doc_id", "source", "size", (F.col("before") + F.col("in_group")).alias("rank"))
+    ).select("row", "doc_id", "source", "size", (F.col("before") + F.col("in_group")).alias("rank"))
 
 
 def _tier_start(tier: int) -> int:
@@ -117,10 +118,13 @@ def _copies(rate: Column, offset: Column) -> Column:
 def mix(
     docs: DataFrame, most: float = 3.0, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row of ``docs``."""
+    """(row, doc_id, size, source, source_size, target, copies, taken) for every row of ``docs``; row is its number in the scan."""
     spark = docs.sparkSession
     sized = scratch.keep(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sized"
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")
+        ),
+        "sized",
     )
     tiered = scratch.keep(_tiered(_ranked(sized)), "tiered")
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -150,18 +154,16 @@ def mix(
     table = spark.createDataFrame(plan, schema + ", source_size long, target double")
     out = tiered.join(F.broadcast(table), same).withColumn("copies", _copies(F.col("rate"), F.col("r_offset")))
     return out.select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "row", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (not at all where it takes none).
 
-    Rows with the same key must agree in text and source, else their copies are summed over the key's rows.
+    Rows are matched by their number in the scan, so rows that share an id, or have none, each get their own copies.
     """
-    share = mix(docs, key=key, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    share = share.where("copies > 0").select(F.col("doc_id").alias("mix_key"), "copies", "rows")
-    names = docs.columns
-    numbered = docs.join(share, docs[key].eqNullSafe(F.col("mix_key")))
-    times = F.floor(F.col("copies") / F.col("rows")).cast("int")
-    return numbered.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).select(*names)
+    own, of, times, copy = scratch.unused(docs, "mix_row", "mix_of", "mix_times", "mix_copy")
+    share = mix(docs, **options).where("copies > 0").select(F.col("row").alias(of), F.col("copies").cast("int").alias(times))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id()).join(share, F.col(own) == F.col(of))
+    return numbered.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, of, times, copy)

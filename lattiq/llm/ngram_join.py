@@ -353,5 +353,21 @@ def _across(posts: DataFrame, labels: DataFrame, tried: DataFrame, threshold: Th
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
     stays = join_components(docs, key=key, **options).where("doc_id is null or doc_id = component_id")
-    stays = stays.select(F.col("doc_id").alias("join_kept")).distinct()
-    return docs.join(stays, docs[key].eqNullSafe(F.col("join_kept")), "left_semi")
+    (kept,) = scratch.unused(docs, "join_kept")
+    stays = stays.select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(stays, F.col(key).eqNullSafe(F.col(kept)), "left_semi")
+
+
+def oracle_sql(n: int = 4, threshold: Threshold = Threshold()) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) end) as g from w),
+z as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as m from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+k as (select u, v from p join z a on a.doc_id = u join z b on b.doc_id = v where {threshold.den} * m >= {threshold.num} * (a.n + b.n - m)),
+l as (select u, v from k union all select v, u from k),
+c(v, d) using key (v) as (select doc_id, doc_id from documents union
+  select l.v, min(c.d) from c join l on l.u = c.v left join recurring.c r on r.v = l.v group by l.v having min(c.d) < min(r.d))
+select w.doc_id, coalesce(z.n, 0) as n_shingles, c.d as component_id from w left join z using (doc_id) join c on c.v = w.doc_id"""

@@ -48,7 +48,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.oracle_sql(4, ngram_join.Threshold(85, 100)),
         "op3_warc_salvage": warc.oracle_sql(),
+        "op4_embedding_near_dedup": embedding_dedup.oracle_sql(0.95),
         "op6_exact_dedup": exact_dedup.oracle_sql(),
         "op7_feistel_sharding": sharding.oracle_sql(),
     }

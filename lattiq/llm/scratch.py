@@ -73,6 +73,17 @@ def settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(k, v)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def pieces_of(batches, rows: int = 512):
     """Arrow batches cut into slices of few rows, so that a worker's memory stays bounded."""
     for batch in batches:

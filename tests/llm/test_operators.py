@@ -8,11 +8,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, secret_scan, sharding, warc
+from lattiq.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, row long, size long, salt long, component string"
 EXTRA = (1, 2, 3, 4, "x")
@@ -332,3 +333,37 @@ def test_viterbi_shortcut_is_exact():
         if not language_id.needs_decoding(scores, best, 4.0):
             assert value(path) == pytest.approx(scores[:, best].sum())
         assert value(path) >= scores[:, best].sum() - 1e-9
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op4_embedding_near_dedup"])
+def test_queries_match_sql(spark, name):
+    """Also on embeddings and documents of the given tables, whole."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    found = queries.queries()[name](spark, folder)
+    columns = ", ".join(found.columns)
+    expected = con.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_stages_leave_columns_with_their_own_names_alone(spark, docs, tmp_path):
+    names = ["dedup_row", "dedup_kept_row", "join_kept", "mix_row", "mix_of", "mix_times", "mix_copy", "copies", "rows"]
+    odd = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    odd.write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    for stage in (exact_dedup.deduplicated, ngram_join.one_of_each, mixing.mixed_documents):
+        found = stage(odd)
+        assert found.columns == odd.columns
+        assert found.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == found.count() > 0
+
+
+def test_mixing_copies_rows_that_share_an_id(spark, tmp_path):
+    rows = [(i % 7, f"{'word ' * (i % 5)}{i}", f"s{i % 2}") for i in range(60)] + [(None, f"no id {i}", "s0") for i in range(5)]
+    table(spark, rows).repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    number = docs.withColumn("no", F.monotonically_increasing_id())
+    copies = {r.row: r.copies for r in mixing.mix(docs).collect()}
+    expected = Counter({r.text: copies[r.no] for r in number.collect() if copies[r.no]})
+    assert Counter(r.text for r in mixing.mixed_documents(docs).collect()) == expected and expected

@@ -11,8 +11,8 @@ Normalisation replaces each run of ASCII white space by one space.
 
 Defined results: a null text counts as the empty text; of equal texts the row with the smallest id stays
 (null ids come last); of repeated rows (same id, same text) exactly one stays; an empty table gives an
-empty table; other columns, whatever their names, are not touched.  ``docs`` has to number its rows alike in
-every scan, as a table read from files does: the locator is that number.
+empty table; other columns, whatever their names, are not touched.  The locator is the row's file and its number
+there; ``docs`` that is no plain Parquet scan is first written as one.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def run_stream(spark: SparkSession, landing: str, schema, files_per_batch: int |
             .start()
         )
         query.awaitTermination()
-    fields = "digest string, keep struct<no_id: boolean, id: bigint, row: bigint>, group_size bigint"
+    fields = "digest string, keep struct<no_id: boolean, id: bigint, row: " + scratch.LOCATOR + ">, group_size bigint"
     try:
         states = spark.read.schema(fields).parquet(out)
         states.schema
@@ -86,7 +86,7 @@ def run_stream(spark: SparkSession, landing: str, schema, files_per_batch: int |
 def _collided(texts: DataFrame, states: DataFrame) -> DataFrame:
     """Digests whose rows are not all the same bytes."""
     hits = scratch.keep(states.where("group_size > 1").select(F.col("digest").alias("hit")), "hits")
-    salt = F.pmod(F.col("row"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
     rows = texts.withColumn("salt", salt)
     if hits.count() <= BROADCAST_HITS:
         found = rows.join(F.broadcast(hits), F.col("digest") == F.col("hit"))
@@ -106,10 +106,10 @@ def exact_groups(
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, scratch.located(docs)
     norm = normalised(F.col(text))
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), norm.alias("norm")
+        scratch.locator().alias("row"), F.col(key).cast("long").alias("id"), norm.alias("norm")
     ).select("row", "id", "norm", digest(F.col("norm")).alias("digest"))
     if digest is _sha256:
         landed = texts.select("row", "id", "digest", F.col("digest").alias("sha"))
@@ -142,9 +142,10 @@ def exact_groups(
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = scratch.located(docs)
     own, kept = scratch.unused(docs, "dedup_row", "dedup_kept_row")
     stays = exact_groups(docs, **options).where("kept").select(F.col("row").alias(kept))
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    numbered = docs.select("*", scratch.locator().alias(own))
     return numbered.join(stays, F.col(own) == F.col(kept), "left_semi").drop(own)
 
 

@@ -15,9 +15,9 @@ A source may hold any share of the rows: the prefix sum is a rank, built from co
 source and tier.
 
 Defined results: null text has no words; documents without words are ranked but take nothing; a source
-without words has target 0; equal sizes are ordered by salt, id and row number; repeated rows count as rows of
-their own; an empty table gives an empty table; other columns, whatever their names, do not matter.  ``docs`` has to
-number its rows alike in every scan, as a table read from files does.
+without words has target 0; equal sizes are ordered by salt, id and locator; repeated rows count as rows of
+their own; an empty table gives an empty table; other columns, whatever their names, do not matter.  A locator is the row's
+file and its number there; ``docs`` that is no plain Parquet scan is first written as one.
 """
 
 from __future__ import annotations
@@ -118,11 +118,11 @@ def _copies(rate: Column, offset: Column) -> Column:
 def mix(
     docs: DataFrame, most: float = 3.0, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """(row, doc_id, size, source, source_size, target, copies, taken) for every row of ``docs``; row is its number in the scan."""
-    spark = docs.sparkSession
+    """(row, doc_id, size, source, source_size, target, copies, taken) for every row of ``docs``; row is its locator."""
+    spark, docs = docs.sparkSession, scratch.located(docs)
     sized = scratch.keep(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")
+            scratch.locator().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")
         ),
         "sized",
     )
@@ -161,9 +161,10 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (not at all where it takes none).
 
-    Rows are matched by their number in the scan, so rows that share an id, or have none, each get their own copies.
+    Rows are matched by their locator, so rows that share an id, or have none, each get their own copies.
     """
+    docs = scratch.located(docs)
     own, of, times, copy = scratch.unused(docs, "mix_row", "mix_of", "mix_times", "mix_copy")
     share = mix(docs, **options).where("copies > 0").select(F.col("row").alias(of), F.col("copies").cast("int").alias(times))
-    numbered = docs.withColumn(own, F.monotonically_increasing_id()).join(share, F.col(own) == F.col(of))
+    numbered = docs.select("*", scratch.locator().alias(own)).join(share, F.col(own) == F.col(of))
     return numbered.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, of, times, copy)

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN = uuid.uuid4().hex[:12]
 _ROOTS: set[str] = set()
@@ -73,6 +74,25 @@ def settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(k, v)
 
 
+#: Type of a row's locator: a hash of its file's path, and its number in that file.
+LOCATOR = "struct<file: bigint, at: bigint>"
+
+
+def located(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a plain Parquet scan, else its rows as a table in the scratch folder: rows that ``locator``
+    can tell apart."""
+    plain = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    if plain and "row_index" in df.select("_metadata").schema["_metadata"].dataType.names:
+        return df
+    return keep(df, "rows")
+
+
+def locator() -> Column:
+    """The same for a row in every scan, however the files are split: splits follow the number of cores, and so change
+    when executors are lost."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it."""
     taken, found = {c.lower() for c in df.columns}, []

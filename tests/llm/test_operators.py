@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, sharding, warc
+from lattiq.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, queries, scratch, secret_scan, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, row long, size long, salt long, component string"
 EXTRA = (1, 2, 3, 4, "x")
@@ -363,7 +363,18 @@ def test_mixing_copies_rows_that_share_an_id(spark, tmp_path):
     rows = [(i % 7, f"{'word ' * (i % 5)}{i}", f"s{i % 2}") for i in range(60)] + [(None, f"no id {i}", "s0") for i in range(5)]
     table(spark, rows).repartition(2).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    number = docs.withColumn("no", F.monotonically_increasing_id())
+    number = docs.select("*", scratch.locator().alias("no"))
     copies = {r.row: r.copies for r in mixing.mix(docs).collect()}
     expected = Counter({r.text: copies[r.no] for r in number.collect() if copies[r.no]})
     assert Counter(r.text for r in mixing.mixed_documents(docs).collect()) == expected and expected
+
+
+def test_locators_do_not_depend_on_splits(spark, docs):
+    find = lambda: sorted(map(str, docs.select("doc_id", scratch.locator().alias("at")).collect()))
+    before = find()
+    assert len(set(before)) == docs.count()
+    with scratch.settings(spark, {"spark.sql.files.maxPartitionBytes": "20000"}):
+        assert find() == before
+    assert scratch.located(docs) is docs
+    made = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("twice"))  # a scan's numbers would repeat here
+    assert exact_dedup.deduplicated(made).count() == exact_dedup.deduplicated(docs).count()

@@ -1,8 +1,9 @@
 """Language identification of mixed text.
 
-A word's script (the range of its first letter) narrows the candidates to the languages that use it; each candidate scores the
-word by the log probabilities of its character n-grams.  Viterbi decoding with a penalty per switch labels
-every word, which gives spans; the document's language is the one that most letters are labelled with.
+Texts are cut into words at blanks; what is still in several scripts or longer than a word (scripts without blanks, words joined by
+punctuation) is cut further, and every letter belongs to some word.  A word's script narrows the candidates to the languages that
+use it; each candidate scores the word by the log probabilities of its character n-grams.  Viterbi decoding with a penalty per
+switch labels every word, which gives spans; the document's language is the one that most letters are labelled with.
 
 Most documents need no decoding: where no stretch of words gains more than half a penalty in any other language
 over the best single one, the single language is the best path (each excursion would cost more than it gains).  The others
@@ -17,6 +18,7 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +36,10 @@ PER_LANGUAGE = 1500
 BUCKETS, LONGEST = 1 << 16, 4
 PENALTY = 12.0
 MEMO = 200_000
-#: Letters of a word that its score looks at; longer runs are no words.
-LONGEST_WORD = 200
+#: Letters of a word; tokens with more are cut into several words.
+LONGEST_WORD = 40
+#: Letters that are scored, or words that are counted, at a time.
+LETTERS_AT_ONCE, COUNTED_AT_ONCE = 1 << 18, 1 << 16
 FOLDS, HELD_FOLD = 4, 2
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values of the Unicode block table) and the script from there on.
@@ -59,6 +63,47 @@ def letters_of(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(c for c in token if c.isalpha()).lower()
 
 
+class Kinds(dict):
+    """character -> its script, ``GLUE`` for what stands inside words (marks, apostrophes, joiners), ``BREAK`` for the rest."""
+
+    def __missing__(self, c: str) -> int:
+        if c.isalpha():
+            kind = script_of(c.lower()[0])
+        else:
+            kind = GLUE if c in "'\u2019" or unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else BREAK
+        self[c] = kind
+        return kind
+
+
+GLUE, BREAK = -1, -2
+KINDS = Kinds()
+
+
+def words_in(token: str) -> list[str]:
+    """The token, or the words that it is cut into: a token of more than ``LONGEST_WORD`` letters or of several scripts is cut
+    where the script changes, a long one also at punctuation and then into words of even lengths.  Together they are the token."""
+    if len(token) <= LONGEST_WORD and token.isascii():
+        return [token]
+    kinds = np.fromiter(map(KINDS.__getitem__, token), np.int64, len(token))
+    at = np.flatnonzero(kinds >= 0)  # the letters
+    if not len(at):
+        return [token]
+    script = kinds[at]
+    first = np.append(True, script[1:] != script[:-1])  # letters that begin a run
+    if len(at) > LONGEST_WORD:
+        breaks = np.cumsum(kinds == BREAK)[at]
+        first[1:] |= breaks[1:] != breaks[:-1]
+        run = np.flatnonzero(first)
+        lengths = np.diff(np.append(run, len(at)))
+        parts = -(-lengths // LONGEST_WORD)
+        place = np.arange(len(at)) - np.repeat(run, lengths)
+        part = place * np.repeat(parts, lengths) // np.repeat(lengths, lengths)
+        first[1:] |= part[1:] != part[:-1]
+    starts = at[first].tolist()
+    starts[0] = 0
+    return [token[a:b] for a, b in zip(starts, [*starts[1:], len(token)], strict=True)]
+
+
 def gram_buckets(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Per n-gram length the bucket of every window over the words with their ends marked (``BUCKETS`` where a
     window leaves its word), and where each word starts."""
@@ -93,33 +138,53 @@ class Model:
 
 
 class Words(dict):
-    """token -> row of ``scores`` and ``weights`` (its letters); row 0 is that of tokens without letters."""
+    """token -> row of ``scores`` and ``weights`` (its letters); row 0 is that of tokens without letters.  A token that is cut
+    has the row -1 - i, its words are ``cut[i]``."""
 
     def __init__(self, model: Model):
         self.model = model
         self.scores, self.weights, self.used = np.zeros((1024, len(model.languages))), np.zeros(1024), 1
+        self.cut: list[list[str]] = []
+        self.held = 0  # characters of the tokens
 
     def learn(self, token_lists: list[list[str]]) -> None:
         """Give a row to every token that has none yet."""
-        if self.used > MEMO:
+        if self.used > MEMO or self.held > MEMO * LONGEST_WORD:
             self.clear()
-            self.used = 1
+            self.cut.clear()
+            self.used, self.held = 1, 0
         new = set().union(*token_lists).difference(self)
-        words = [(t, w) for t, w in ((t, letters_of(t)[:LONGEST_WORD]) for t in new) if w]
-        self.update(dict.fromkeys(new, 0))
+        uncut = set()
+        for t in new:
+            own = words_in(t)
+            self.held += len(t)
+            if len(own) > 1:
+                self.cut.append(own)
+                self[t] = -len(self.cut)
+                uncut.update(own)
+            else:
+                uncut.add(t)
+        uncut.difference_update(self)
+        words = [(t, w) for t, w in ((t, letters_of(t)) for t in uncut) if w]
+        self.update(dict.fromkeys(uncut, 0))
         while self.used + len(words) > len(self.weights):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
-        if words:
-            rows = slice(self.used, self.used + len(words))
-            self.scores[rows] = self.model.word_scores([w for _, w in words])
-            self.weights[rows] = [len(w) for _, w in words]
-            self.update(zip((t for t, _ in words), range(rows.start, rows.stop), strict=True))
+        for at in range(0, len(words), LETTERS_AT_ONCE // LONGEST_WORD):
+            some = words[at : at + LETTERS_AT_ONCE // LONGEST_WORD]
+            rows = slice(self.used, self.used + len(some))
+            self.scores[rows] = self.model.word_scores([w for _, w in some])
+            self.weights[rows] = [len(w) for _, w in some]
+            self.update(zip((t for t, _ in some), range(rows.start, rows.stop), strict=True))
             self.used = rows.stop
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-
+    def rows(self, tokens: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of the tokens and their rows."""
+        found = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if not len(found) or found.min() >= 0:
+            return tokens, found
+        tokens = [w for t, row in zip(tokens, found.tolist(), strict=True) for w in (self.cut[-1 - row] if row < 0 else (t,))]
+        return tokens, np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 def needs_decoding(scores: np.ndarray, best: int, penalty: float) -> bool:
     """Could an excursion from the best single language pay? (Largest gain of any stretch in any language.)"""
@@ -156,12 +221,12 @@ def decode(all_scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 def label_words(texts: list[str | None], model: Model, words: Words, penalty: float = PENALTY):
-    """(tokens, labels, weights) per text; labels index the model's languages."""
+    """(words, labels, weights) per text; labels index the model's languages."""
     out, open_ = [], []
     split = [t.split() if t else [] for t in texts]
     words.learn(split)
     for i, tokens in enumerate(split):
-        rows = words.rows(tokens)
+        tokens, rows = words.rows(tokens)
         scores, weights = words.scores[rows], words.weights[rows]
         best = int(scores.sum(0).argmax()) if len(tokens) else 0
         out.append([tokens, np.full(len(tokens), best), weights])
@@ -205,22 +270,30 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {name: Counter() for name in languages}
+        table, used = np.zeros((BUCKETS, n), np.float32), np.zeros((scripts, n), np.float32)
+
+        def add(j: int, counted: Counter) -> None:
+            counted.pop("", None)
+            pairs = list(counted.items())
+            counted.clear()
+            for at in range(0, len(pairs), LETTERS_AT_ONCE // LONGEST_WORD):
+                some = pairs[at : at + LETTERS_AT_ONCE // LONGEST_WORD]
+                times = np.array([k for _, k in some], np.float64)
+                buckets, starts = gram_buckets([w for w, _ in some])
+                lengths = np.diff(np.append(starts, len(buckets[0])))
+                for b in buckets:
+                    table[:, j] += np.bincount(b, np.repeat(times, lengths), BUCKETS + 1)[:BUCKETS]
+                for word, n_word in some:
+                    used[script_of(word[0]), j] += n_word
+
         for b in scratch.pieces_of(batches):
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[name].update(map(letters_of, t.split()))
-        table, used = np.zeros((BUCKETS, n), np.float32), np.zeros((scripts, n), np.float32)
+                seen[name].update(letters_of(w) for token in t.split() for w in words_in(token))
+                if len(seen[name]) > COUNTED_AT_ONCE:
+                    add(languages.index(name), seen[name])
         for j, name in enumerate(languages):
-            seen[name].pop("", None)
-            if not seen[name]:
-                continue
-            times = np.array(list(seen[name].values()), np.float64)
-            buckets, starts = gram_buckets([w[:LONGEST_WORD] for w in seen[name]])
-            lengths = np.diff(np.append(starts, len(buckets[0])))
-            for b in buckets:
-                table[:, j] += np.bincount(b, np.repeat(times, lengths), BUCKETS + 1)[:BUCKETS]
-            for word, n_word in seen[name].items():
-                used[script_of(word[0]), j] += n_word
-        if any(seen.values()):
+            add(j, seen[name])
+        if used.any():
             yield pa.RecordBatch.from_arrays([pa.array([table.tobytes() + used.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros(BUCKETS * n + scripts * n, np.float64)

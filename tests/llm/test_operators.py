@@ -323,6 +323,31 @@ def test_language(docs, none, spark):
     assert language_id.fit(none) is None and {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_reads_all_of_unspaced_text(spark):
+    words = {"en": ["the", "thing", "water", "which", "house"], "de": ["über", "nicht", "schön", "wasser", "haus"]}
+    signs = {"zh": "的是不了在人有我他这", "ja": "日本語東京駅新聞社員"}
+    rng = random.Random(5)
+    say = lambda lang, n, by=" ": by.join(rng.choice(words.get(lang) or signs[lang]) for _ in range(n))
+    learn = [(i, say(lang, 60, " " if lang in words else ""), lang) for i, lang in enumerate(["en", "de", "zh", "ja"] * 40)]
+    model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    texts = {
+        1: say("en", 50) + " " + say("de", 400, ","),  # long run, words joined by punctuation
+        2: say("zh", 200, "") + say("ja", 600, ""),  # a switch after the first 200 letters
+        3: say("en", 3, ".") + say("zh", 30, ""),  # a script change within a short token
+        4: say("en", 45) + " " + say("de", 200, ""),  # one run of letters
+    }
+    got = language_id.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model, spans=True)
+    got = {r.doc_id: r for r in got.collect()}
+    assert [got[i].lang_pred for i in texts] == ["de", "ja", "zh", "de"]
+    assert [[s.lang for s in got[i].spans] for i in texts] == [["en", "de"], ["zh", "ja"], ["en", "zh"], ["en", "de"]]
+    assert got[2].score == pytest.approx(0.75, abs=0.06) and abs(got[2].spans[1].start - 200) <= language_id.LONGEST_WORD
+    assert all(got[i].spans[-1].end == len(t) for i, t in texts.items())
+    for token in ["don't", "नमस्ते" * 30, "a" * 1001 + "," * 90 + "é", "," * 300, "x中y", "İ" * 90, "...abc...中文..."]:
+        own = language_id.words_in(token)
+        assert "".join(own) == token and all(len(w) <= language_id.LONGEST_WORD or not language_id.letters_of(w) or sum(map(str.isalpha, w)) <= language_id.LONGEST_WORD for w in own)
+    assert language_id.words_in("don't") == ["don't"]
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(300):

@@ -7,7 +7,9 @@ with the smallest id is ``response``, the others ``revisit`` it; smaller ones ar
 
 Reading: every member (or plain record) is checked: inflation and its checksum, version line, content length,
 record end, payload digest.  After a failed check the reader searches for the next valid member or version line,
-goes on there, and logs the bytes in between as a quarantined gap.
+goes on there, and logs the bytes in between as a quarantined gap.  Within a member the search goes over its inflated content (a gap there
+has the member's place, its reason tells the bytes of the content); of a member that cannot be inflated to its end, what was inflated
+before the fault is read.
 
 Defined results: a null payload is empty; a null id is written as ``null`` and read as null, and is never the smallest;
 rows that share the smallest id of their payload are all responses; line breaks in a URL become spaces, a null URL
@@ -31,6 +33,7 @@ from . import scratch
 
 SMALLEST_REVISIT = 100
 RECORDS_PER_FILE = 4096
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: A gzip member that holds nothing.
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
 DATE = b"2024-01-01T00:00:00Z"
@@ -139,18 +142,22 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``; raises BadRecord."""
+def inflate(data: bytes, at: int, careful: int | None = None) -> tuple[bytes, int, str]:
+    """(content, end, fault) of the gzip member at ``at``; with a fault, what was inflated before it and where it showed.
+    From ``careful`` on single bytes are fed, as a failing step returns nothing."""
     engine, out, fed = zlib.decompressobj(31), [], at
-    try:
-        while not engine.eof:
-            if fed >= len(data):
-                raise BadRecord("gzip member has no end")
-            out.append(engine.decompress(data[fed : fed + STEP]))
-            fed += STEP
-    except zlib.error as e:
-        raise BadRecord(f"gzip: {e}") from None
-    return b"".join(out), min(fed, len(data)) - len(engine.unused_data)
+    while not engine.eof:
+        if fed >= len(data):
+            return b"".join(out), len(data), "gzip member has no end"
+        step = STEP if careful is None or fed < careful else 1
+        try:
+            out.append(engine.decompress(data[fed : fed + step]))
+        except zlib.error as e:
+            if step > 1:
+                return inflate(data, at, fed)
+            return b"".join(out), fed, f"gzip: {e}"
+        fed += step
+    return b"".join(out), min(fed, len(data)) - len(engine.unused_data), ""
 
 
 def _opens(data: bytes, at: int) -> bool:
@@ -171,22 +178,43 @@ def next_start(data: bytes, at: int) -> int:
     return len(data)
 
 
+def records_in(content: bytes) -> Iterator[tuple]:
+    """('record', start, end, fields, payload) and ('gap', start, end, reason, None) of a member's content, in order."""
+    at = 0
+    while at < len(content):
+        try:
+            fields, payload, end = parse_record(content, at)
+            yield "record", at, end, fields, payload
+        except BadRecord as e:
+            line = VERSION_LINE.search(content, at + 1)
+            end = line.start() if line else len(content)
+            yield "gap", at, end, str(e), None
+        at = end
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """('record', start, end, fields, payload) and ('gap', start, end, reason, None), in order."""
     at = 0
+    # after a faulty member the search goes over its own bytes again, where stored blocks may show records that were inflated from it
+    known, known_end = set(), 0
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b", at):
-                content, end = inflate(data, at)
-                inner, found = 0, []
-                while inner < len(content):
-                    fields, payload, inner = parse_record(content, inner)
-                    found.append((fields, payload))
-                for fields, payload in found:
-                    yield "record", at, end, fields, payload
+                content, end, fault = inflate(data, at)
+                for kind, a, b, found, payload in records_in(content):
+                    if kind == "record":
+                        yield "record", at, end, found, payload
+                        if fault:
+                            known.add(hashlib.sha256(content[a:b]).digest())
+                            known_end = max(known_end, end)
+                    elif not fault or b < len(content):  # what a fault cut off is in the gap of the fault
+                        yield "gap", at, end, f"{found} (bytes {a} to {b} of the content)", None
+                if fault:
+                    raise BadRecord(fault)
             elif data.startswith(b"WARC/", at):
                 fields, payload, end = parse_record(data, at)
-                yield "record", at, end, fields, payload
+                if at >= known_end or hashlib.sha256(data[at:end]).digest() not in known:
+                    yield "record", at, end, fields, payload
             else:
                 raise BadRecord("neither a member nor a version line")
             at = end

@@ -192,6 +192,31 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert kinds == {"gap": 1, "record": 1}
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_a_member(level):
+    import gzip
+
+    data = [random.Random(i).randbytes(3000).hex().encode() for i in range(40)]
+    records = [warc.build_record(i, "u", d, hashlib.sha256(d).hexdigest(), len(d), None, False) for i, d in enumerate(data)]
+    ids = lambda found: [int(x[3]["warc-record-id"].strip("<>").rpartition(":")[2]) for x in found if x[0] == "record"]
+    gaps = lambda found: [x[1:4] for x in found if x[0] == "gap"]
+    bad = records[1].replace(b"Content-Length: ", b"Content-Size: ")
+    whole = gzip.compress(b"".join([records[0], bad, *records[2:4]]), level, mtime=0)
+    found = list(warc.salvage(whole + gzip.compress(records[4], mtime=0)))
+    assert ids(found) == [0, 2, 3, 4] and len(gaps(found)) == 1 and gaps(found)[0][:2] == (0, len(whole))
+    assert f"(bytes {len(records[0])} to {len(records[0] + bad)} of the content)" in gaps(found)[0][2]
+    member, after = gzip.compress(b"".join(records), level, mtime=0), gzip.compress(b"".join(records[:2]), mtime=0)
+    cut = list(warc.salvage(member[: len(member) * 3 // 4]))
+    assert ids(cut) == list(range(len(ids(cut)))) and 28 <= len(ids(cut)) <= 30 and gaps(cut)[0][2] == "gzip member has no end"
+    late = bytearray(member)
+    late[-6] ^= 0xFF  # the checksum, after all of the content
+    found = list(warc.salvage(bytes(late) + after))
+    assert ids(found) == [*range(40), 0, 1] and len(gaps(found)) >= 1 and "gzip" in gaps(found)[0][2]
+    lost = list(warc.salvage(member[: len(member) // 2] + after + records[39]))  # its second half is missing
+    n = Counter(ids(lost))
+    assert n[0] == n[1] == 2 and n[39] == 1 and all(n[i] == 1 for i in range(2, 18))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))

@@ -114,18 +114,21 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(header fields, payload, end) of the record that starts at ``at``; raises BadRecord."""
     if not data.startswith(b"WARC/1.", at):
         raise BadRecord("no version line")
-    head_end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if head_end < 0:
-        raise BadRecord("header has no end")
     fields: dict[str, str] = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line_end = data.find(b"\r\n", at)
+    while True:  # line by line, so that a bad header is left at its first bad line, however long headers may be
+        begin, line_end = line_end + 2, data.find(b"\r\n", line_end + 2) if line_end >= 0 else -1
+        if line_end < 0:
+            raise BadRecord("header has no end")
+        if line_end == begin:
+            break
+        name, colon, value = data[begin:line_end].partition(b":")
         if not colon:
             raise BadRecord("header line without a colon")
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not fields.get("content-length", "").isdigit():
         raise BadRecord("no content length")
-    start, end = head_end + 4, head_end + 4 + int(fields["content-length"])
+    start, end = line_end + 2, line_end + 2 + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise BadRecord("record end is not where the content length says")
     block = data[start:end]
@@ -270,11 +273,12 @@ def _page(name: str):
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archives of ``pages`` to the shared scratch folder and read every record back."""
+    """Write the archives of ``pages`` to the shared scratch folder and read every record back; a gap in them is an error."""
     spark = pages.sparkSession
     path = scratch.new_path(spark, "warc")
     write_archives(pages, path)
-    records = read_archives(spark, path, payloads=False).where("kind = 'record'")
+    gap = F.raise_error(F.concat(F.lit("gap in an archive just written: "), "path", F.lit(": "), "reason"))
+    records = read_archives(spark, path, payloads=False).where(F.when(F.col("kind") == "record", True).otherwise(gap.cast("boolean")))
     return records.select(
         _page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to")
     )

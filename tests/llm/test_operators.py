@@ -192,6 +192,14 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert kinds == {"gap": 1, "record": 1}
 
 
+def test_warc_very_long_url(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://" + "u" * (1 << 21), "<p>"), (2, "v", "<p>")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 2]
+    monkeypatch.setattr(warc, "write_archives", lambda rows, path: rows.selectExpr("'junk'").write.text(path))
+    with pytest.raises(Exception, match="gap in an archive just written"):
+        warc.round_trip(pages).collect()
+
+
 @pytest.mark.parametrize("level", [0, 6])
 def test_salvage_inside_a_member(level):
     import gzip

@@ -307,8 +307,9 @@ def join_components(
     classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     classes = scratch.keep(classes.where("rep <> last").drop("last"), "class-reps")
     same = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"])
-    same = scratch.keep(same.where("doc_id <> rep").select("doc_id", "rep").distinct(), "classes")
-    firsts = usable.join(same.select("doc_id").distinct(), "doc_id", "left_anti")
+    same = scratch.keep(same.where("doc_id <> rep").distinct(), "classes")
+    # only the row of the class leaves: another row of the same id may hold another text
+    firsts = usable.join(same, ["doc_id", "h1", "h2", "n_shingles"], "left_anti")
     posts = firsts.select(
         F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "alone", F.posexplode("prefix").alias("at", "gram")
     ).withColumn("tail", F.col("n") - F.col("alone") - F.col("at"))

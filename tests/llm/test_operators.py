@@ -158,6 +158,15 @@ def test_ngram_join_random_groups(spark, num):
     assert {r.doc_id: r.component_id for r in found} == brute_components(sets, num, 100)
 
 
+def test_ngram_join_keeps_other_texts_of_a_repeated_id(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "ab"]
+    near = " ".join([*words[1][:59], "changed"])
+    a, b = map(" ".join, words)
+    for rows in ([(3, a), (5, a), (5, b), (7, near)], [(3, b), (5, a), (5, b), (4, a), (7, near)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.component_id for r in ngram_join.join_components(docs).collect()} == {3}
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     big, small = "<p>" + "y" * 200, "<p>z"
     rows = [(5, "http://a", big), (3, None, big), (9, "http://b\r\nX: y", big), (1, "u", small), (2, "u", small), (4, "e", None), (None, "n", big), (7, "é", "ü" * 90)]

@@ -23,6 +23,8 @@ def root(spark: SparkSession) -> str:
     """This run's folder below the shared checkpoint folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="lattiq-")
         spark.conf.set("spark.checkpoint.dir", shared)
     base = f"{shared.rstrip('/')}/lattiq-{_RUN}"
@@ -104,8 +106,40 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def pieces_of(batches, rows: int = 512):
-    """Arrow batches cut into slices of few rows, so that a worker's memory stays bounded."""
+#: Bits of a sieve: 16 MB, whatever the number of keys.
+SIEVE_BITS = 1 << 27
+
+
+def sieve(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of the hashes of ``key``, in at most 4096 buckets of 4 KB each."""
+    bit = keys.select((F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1).alias("bit"))
+    bitmap = F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("sieve_bits")
+    return keep(bit.groupBy(F.bitmap_bucket_number("bit").alias("sieve_bucket")).agg(bitmap), "sieve")
+
+
+def sifted(rows: DataFrame, key: Column, bitmap: DataFrame, into: str) -> DataFrame:
+    """``rows`` with the flag ``into``: false only where ``key`` is surely none of the sieve's."""
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("sieve_bits"), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("sieve_bucket"), "left")
+    return marked.withColumn(into, F.coalesce(hit, F.lit(False))).drop("sieve_bucket", "sieve_bits")
+
+
+#: Bytes of a slice, if it has more than one row.
+SLICE_BYTES = 1 << 23
+
+
+def pieces_of(batches, rows: int = 512, most: int = SLICE_BYTES):
+    """Arrow batches cut into slices of few rows and few bytes (a single row may be longer), so that a worker's memory stays bounded."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            todo = [batch.slice(at, rows)]
+            while todo:
+                part = todo.pop()
+                if part.nbytes > most and part.num_rows > 1:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part

@@ -4,8 +4,10 @@ Strong candidates stand alone: ``assign`` (a password-like name, a sign, a value
 and ``hex`` (a long hexadecimal run).  Weak ones are parts that mean little by themselves: ``ident`` (a user or
 client name given as a setting), ``opaque`` (a run that looks random) and ``endpoint`` (a URL or host with port).
 A weak candidate is reported only where complementary parts meet in one scope: an opaque run with an access
-identifier, an identifier with a secret, an endpoint with both.  A scope is ``REACH`` characters around a part within its
-block (blocks end at blank lines); parts meet through an interval join, by one sweep over sorted intervals.
+identifier, an identifier with a secret, an endpoint with both.  Scopes of a part are ``REACH`` characters around it within its
+block (blocks end at blank lines), and the whole section of settings that it stands in: consecutive lines of the form name = value or
+name: value, blank lines and section titles between them included, of whatever length.  Parts meet through an interval join, by one sweep
+over sorted intervals.
 
 Defined results: a null text is empty and has no spans; the hash of no spans is that of the empty string;
 repeated rows give repeated results; an empty table gives an empty table; other columns are not read.
@@ -17,8 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +38,11 @@ IDENT = re.compile(
     r"""(?:client_?id|key_?id|user(?:_?name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII
 )
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b""", re.ASCII)
+URL = re.compile(r"""(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+""", re.ASCII)
+HOST = re.compile(r"(?<![a-z0-9.-])[a-z0-9.-]+:\d{2,5}\b", re.ASCII)  # read run by run, each once; checked by ``is_host``
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
+SETTING = re.compile(r"""[\x20\t]*["']?[\w.-]{1,64}["']?[\x20\t]*[:=].*""", re.ASCII)
+TITLE = re.compile(r"[\x20\t]*(?:\[[^\]\n]{1,64}\]|[#;].*|[{}],?)?[\x20\t\r]*")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "ident", "opaque", "endpoint")
 REACH = 200
@@ -63,18 +69,48 @@ def looks_random(value: str, bits: float = 3.5) -> bool:
     return -sum(k / n * math.log2(k / n) for k in (value.count(c) for c in set(value))) >= bits
 
 
-def near(spans: list[Span], others: list[Span], breaks: list[int], reach: int) -> list[bool]:
-    """For each span, does another one lie within reach in its block? Both lists are sorted by start."""
-    starts = [s for s, _, _ in others]
-    longest = max((e - s for s, e, _ in others), default=0)
-    found = []
-    for s, e, _ in spans:
-        block = bisect_right(breaks, s)
-        low = bisect_left(starts, s - reach - longest)
-        high = bisect_right(starts, e + reach)
-        found.append(
-            any(others[i][1] >= s - reach and bisect_right(breaks, others[i][0]) == block for i in range(low, high))
-        )
+def is_host(value: str) -> bool:
+    """Is ``value`` (before its port) a dotted name without empty parts?"""
+    parts = value.rpartition(":")[0].split(".")
+    return len(parts) > 1 and all(parts)
+
+
+def sections(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs of settings lines; titles, comments and blank lines do not end a run but are no part of its ends."""
+    found, at, lines = [], 0, 0
+    start = end = 0
+    for line in text.split("\n"):
+        if SETTING.fullmatch(line.rstrip("\r")):
+            start, lines, end = (at, 1, at + len(line)) if not lines else (start, lines + 1, at + len(line))
+        elif not TITLE.fullmatch(line):
+            if lines > 1:
+                found.append((start, end))
+            lines = 0
+        at += len(line) + 1
+    if lines > 1:
+        found.append((start, end))
+    return found
+
+
+def near(spans: list[Span], others: list[Span], breaks: list[int], reach: int, runs: list[tuple[int, int]] = ()) -> list[bool]:
+    """For each span, does another one lie within reach in its block, or in its section? Both lists are sorted by start.
+
+    One sweep: the others are taken up to the last that starts within reach, and of those of a block the farthest end decides.
+    """
+    starts = [s for s, _ in runs]
+    section = lambda at: i if (i := bisect_right(starts, at) - 1) >= 0 and at <= runs[i][1] else -1
+    held = {section(s) for s, _, _ in others} - {-1} if runs else set()
+    found, at, farthest = [], 0, {}
+    ahead = sorted(spans, key=lambda x: x[1])  # in the order of their reach to the right
+    answer = {}
+    for s, e, kind in ahead:
+        while at < len(others) and others[at][0] <= e + reach:
+            block = bisect_right(breaks, others[at][0])
+            farthest[block] = max(farthest.get(block, -1), others[at][1])
+            at += 1
+        answer[s, e, kind] = farthest.get(bisect_right(breaks, s), -1) >= s - reach
+    for span in spans:
+        found.append(answer[span] or bool(held) and section(span[0]) in held)
     return found
 
 
@@ -90,13 +126,15 @@ def linked_spans(text: str, strong: list[Span], reach: int = REACH) -> list[Span
     opaque = [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text) if looks_random(m[0])]
     covered = near(opaque, taken, [], -1) if taken else [False] * len(opaque)  # overlaps a part already named
     opaque = [x for x, over in zip(opaque, covered, strict=True) if not over]
-    breaks = [m.start() for m in BLANK.finditer(text)]
-    opaque = [x for x, ok in zip(opaque, near(opaque, identifiers, breaks, reach), strict=True) if ok]
+    scope = ([m.start() for m in BLANK.finditer(text)], reach, sections(text))
+    opaque = [x for x, ok in zip(opaque, near(opaque, identifiers, *scope), strict=True) if ok]
     all_secrets = sorted(secrets + opaque)
-    idents = [x for x, ok in zip(idents, near(idents, all_secrets, breaks, reach), strict=True) if ok]
+    idents = [x for x, ok in zip(idents, near(idents, all_secrets, *scope), strict=True) if ok]
     known = sorted(access + idents)
-    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    both = zip(ends, near(ends, known, breaks, reach), near(ends, all_secrets, breaks, reach), strict=True)
+    ends = [(m.start(), m.end(), "endpoint") for m in URL.finditer(text)]
+    ends += [(m.start(), m.end(), "endpoint") for m in HOST.finditer(text) if is_host(m[0])]
+    ends = [x for x, before in zip(sorted(ends), accumulate((e for _, e, _ in sorted(ends)), max, initial=0), strict=False) if x[0] >= before]
+    both = zip(ends, near(ends, known, *scope), near(ends, all_secrets, *scope), strict=True)
     return [*opaque, *idents, *(x for x, a, b in both if a and b)]
 
 

@@ -2,16 +2,17 @@
 
 The incidence matrix has a row per document and a column per n-gram.  It is never laid out whole:
 
-1. *Columns.*  Tasks cut their documents' entries into blocks of columns (hash ranges).  A reducer merges a
-   column block from all tasks, counts each column (document frequency) and answers the tasks' rows with the columns that
-   more than one document has.  Each row then keeps its *prefix*: with the columns ordered from rare to
-   frequent, a partner must share one of the first ``n - ceil(t n) + 1``; columns of one document take places
-   there but can have no partner.
+1. *Columns.*  Tasks cut their documents' entries into blocks of columns (hash ranges), as many as the bytes of the input ask for.  Of a column
+   that several documents of a batch have, one entry with their number goes out and the documents stay in the batch's own message, so a column
+   that a third of all documents have costs an entry per batch.  A reducer merges a column block from all batches, counts each column (document
+   frequency) and answers the batches with the columns that more than one document has.  Each row then keeps its *prefix*: with the columns
+   ordered from rare to frequent, a partner must share one of the first ``n - ceil(t n) + 1``; columns of one document take places there but can
+   have no partner.
 2. *Candidates.*  Equal rows are one class, of which only the smallest id goes on.  Documents that share a prefix column
    are compared with the smallest of them, then only across the components found so far: what is linked
    already needs no further link, so a group of near copies costs its size, not its square.
-3. *Product.*  For the candidate pairs the rows are multiplied block by block: members' rows against a leader's row,
-   by blocks of columns, overlap counts accumulating.  After each block the pairs are discarded whose count plus what
+3. *Product.*  The rows of documents with candidates are laid out once.  For the candidate pairs they are multiplied block by block: members' rows
+   against a leader's row, by blocks of columns, overlap counts accumulating.  After each block the pairs are discarded whose count plus what
    is left of the shorter row stays below the bound that their sizes set.
 4. Components of the links (``components``).
 
@@ -37,16 +38,18 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import connected_components
 
-#: Rows of a block of the incidence matrix.
+#: Rows of a block of the incidence matrix, at most (blocks of long rows have fewer, see ``scratch.pieces_of``).
 BLOCK_DOCS = 1024
-#: Column blocks per shuffle partition.
-BLOCKS_PER_PARTITION = 4
+#: Bytes of entries that a shuffle partition aims at, entry bytes per byte of stored text, and column blocks per partition.
+PARTITION_BYTES, ENTRY_BYTES, BLOCKS_PER_PARTITION = 1 << 25, 2, 12
 #: Column blocks within one product.
 PRODUCT_BLOCKS = 4
 #: Rows that a leader is multiplied with in one group, and rows of a group altogether.
 LEADER_ROWS, GROUP_ROWS = 500, 2000
-#: At most so many rows (three numbers each) are broadcast to the scan of the texts; beyond, texts are shuffled.
+#: At most so many candidate rows (three numbers each) are broadcast; beyond, they are shuffled with the rows of their documents.
 BROADCAST_ROWS = 400_000
+#: Mark of an entry that stands for several documents of its batch.
+SEVERAL = 0xFFFF
 #: Words whose hashes a worker remembers.
 MEMO = 150_000
 
@@ -118,8 +121,21 @@ def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _in_batch(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Entries (sorted keys, row or ``SEVERAL``, how many rows those have) of a batch, and the rows of the latter as bytes."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(keys)))
+    many = times > 1
+    own = rows[first].copy()
+    own[many] = SEVERAL
+    inside = np.repeat(many, times)
+    shared = times[many]
+    data = np.array([len(shared), inside.sum()], np.int64).tobytes() + keys[first[many]].tobytes() + shared.astype(np.int64).tobytes() + rows[inside].tobytes()
+    return keys[first], own, shared.astype(np.uint16), data
+
+
 def _blocks_of(n: int, blocks: int):
-    """Entries of the incidence matrix by column block, and each batch's ids, sizes and row hashes as a block of its own."""
+    """Entries of the incidence matrix by column block, and each batch's ids, sizes, row hashes and shared columns as a block of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, number = Memo(), TaskContext.get().partitionId() << 24
@@ -132,18 +148,19 @@ def _blocks_of(n: int, blocks: int):
             second = np.array([int(_mix(s ^ np.uint64(9)).sum(dtype=np.uint64)) for s in sets], np.uint64)
             known = np.array([v is not None for v in ids.to_pylist()], np.uint8)
             info = ids.fill_null(0).to_numpy().astype(np.int64).tobytes() + sizes.tobytes() + first.tobytes() + second.tobytes() + known.tobytes()
-            out = [[-number], [number], [len(sets)], [info]]
-            keys = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            keys = np.concatenate(sets) & ~np.uint64(0xFFFF) if sets else np.empty(0, np.uint64)
             rows = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
             order = np.argsort(keys)
-            keys, rows = keys[order], rows[order]
+            keys, rows, shared, inside = _in_batch(keys[order], rows[order])
+            out = [[-number], [number], [len(sets)], [info + inside]]
+            several = np.append(0, np.cumsum(rows == SEVERAL))
             block = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
-            for b in range(blocks):
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 lo, hi = edges[b], edges[b + 1]
-                if hi > lo:
-                    for column, value in zip(out, (b, number, hi - lo, _planes(keys[lo:hi]) + rows[lo:hi].tobytes()), strict=True):
-                        column.append(value)
+                data = _planes(keys[lo:hi]) + rows[lo:hi].tobytes() + shared[several[lo] : several[hi]].tobytes()
+                for column, value in zip(out, (b, number, hi - lo, data), strict=True):
+                    column.append(value)
             yield _batch(out, BLOCK)
 
     return run
@@ -156,8 +173,10 @@ def _count_columns(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_batch([batches, [True] * len(batches), sizes, data], REPLY)])
     keys = np.concatenate([_from_planes(d[: 6 * n], n) for d, n in zip(data, sizes, strict=True)])
     rows = np.concatenate([np.frombuffer(d, np.uint16, n, 6 * n) for d, n in zip(data, sizes, strict=True)])
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    count = counts[inverse].astype(np.uint32)
+    times = np.ones(len(keys), np.int64)
+    times[rows == SEVERAL] = np.concatenate([np.frombuffer(d, np.uint16, offset=8 * n) for d, n in zip(data, sizes, strict=True)])
+    _, inverse = np.unique(keys, return_inverse=True)
+    count = np.minimum(np.bincount(inverse, times)[inverse], 0xFFFFFFFF).astype(np.uint32)
     out, at = [[], [], [], []], 0
     for batch, n in zip(batches, sizes, strict=True):
         mine = np.flatnonzero(count[at : at + n] > 1) + at
@@ -169,6 +188,22 @@ def _count_columns(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out, REPLY)])
 
 
+def _spread(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray, inside: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries with those that stand for several documents laid out again (``inside`` as by ``_in_batch``)."""
+    m, total = np.frombuffer(inside, np.int64, 2).tolist()
+    own, times = np.frombuffer(inside, np.uint64, m, 16), np.frombuffer(inside, np.int64, m, 16 + 8 * m)
+    members = np.frombuffer(inside, np.uint16, total, 16 + 16 * m)
+    many = np.flatnonzero(rows == SEVERAL)
+    if not len(many):
+        return keys, rows, counts
+    count = np.zeros(m, np.uint32)
+    count[np.searchsorted(own, keys[many])] = counts[many]
+    one = rows != SEVERAL
+    return (
+        np.concatenate([keys[one], np.repeat(own, times)]), np.concatenate([rows[one], members]), np.concatenate([counts[one], np.repeat(count, times)])
+    )
+
+
 def _prefixes(threshold: Threshold):
     """Rows of a batch with the columns of their prefix that some other row has too."""
 
@@ -186,7 +221,7 @@ def _prefixes(threshold: Threshold):
         prefix: list[np.ndarray] = [np.empty(0, np.int64)] * docs
         alone = sizes.copy()
         if keys:
-            key, row, count = np.concatenate(keys), np.concatenate(rows), np.concatenate(counts)
+            key, row, count = _spread(np.concatenate(keys), np.concatenate(rows), np.concatenate(counts), info[33 * docs :])
             order = np.lexsort((key, count, row))
             key, row = key[order], row[order]
             edges = np.searchsorted(row, np.arange(docs + 1))
@@ -251,8 +286,22 @@ def _verify_group(threshold: Threshold):
     return run
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, n: int, threshold: Threshold, key: str, text: str) -> DataFrame:
-    """Of the candidate pairs (doc, leader), those that reach the threshold, as (a, b)."""
+def laid_out(docs: DataFrame, ids: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """(g_doc, grams) of the documents in ``ids(doc)``, and of few others: one scan of the texts, of which none is shuffled."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for part in scratch.pieces_of(batches):
+            data = [ngram_set(t, n, memo).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["g_doc", "grams"])
+
+    texts = docs.select(F.col(key).cast("long").alias("g_doc"), F.col(text).alias("g_text")).where("g_doc is not null")
+    found = scratch.sifted(texts, F.col("g_doc"), scratch.sieve(ids, F.col("doc")), "g_hit").where("g_hit").drop("g_hit")
+    return scratch.keep(found.mapInArrow(grams, "g_doc long, grams binary"), "grams")
+
+
+def verified_links(grams: DataFrame, pairs: DataFrame, threshold: Threshold) -> DataFrame:
+    """Of the candidate pairs (doc, leader), those that reach the threshold, as (a, b); ``grams`` by ``laid_out``."""
     pairs = scratch.keep(pairs, "pairs")
     fans = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROWS).cast("int").alias("salts"))
     own_salt = F.pmod(F.xxhash64("v_doc"), F.col("salts")).cast("int")
@@ -269,38 +318,34 @@ def verified_links(docs: DataFrame, pairs: DataFrame, n: int, threshold: Thresho
     need = need.withColumn("v_group", F.pmod(F.xxhash64("v_leader", "v_salt"), F.lit(groups)))
     if rows <= BROADCAST_ROWS:
         need = F.broadcast(need)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
-        for part in scratch.pieces_of(batches):
-            data = [ngram_set(t, n, memo).tobytes() for t in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array(data, pa.binary())], names=["v_group", "v_doc", "v_leader", "grams"]
-            )
-
-    texts = docs.select(F.col(key).cast("long").alias("t_doc"), F.col(text).alias("t_text"))
-    found = texts.join(need, F.col("t_doc") == F.col("v_doc")).select("v_group", "v_doc", "v_leader", "t_text")
-    sets = found.mapInArrow(grams, "v_group long, v_doc long, v_leader long, grams binary")
+    sets = grams.join(need, F.col("g_doc") == F.col("v_doc")).select("v_group", "v_doc", "v_leader", "grams")
     links = sets.groupBy("v_group").applyInArrow(_verify_group(threshold), "a long, b long")
     return scratch.keep(links, "verified")
 
 
+def shuffle_partitions(docs: DataFrame, text: str) -> int:
+    """Partitions for the entries of the incidence matrix: by the stored bytes of the texts, at least the session's number."""
+    stored = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-stored * ENTRY_BYTES // PARTITION_BYTES), 1 << 17))
+
+
 def incidence_rows(docs: DataFrame, n: int, threshold: Threshold, key: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, alone, prefix) per row; h1 and h2 identify the set, ``alone`` counts the columns that
     no other row has, after which ``prefix`` begins."""
-    spark = docs.sparkSession
-    blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(docs, text)
     entries = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        _blocks_of(n, blocks), "block long, batch long, n long, data binary"
+        _blocks_of(n, partitions * BLOCKS_PER_PARTITION), "block long, batch long, n long, data binary"
     )
-    replies = entries.groupBy("block").applyInArrow(_count_columns, "batch long, info boolean, n long, data binary")
-    return replies.groupBy("batch").applyInArrow(_prefixes(threshold), ROWS)
+    replies = entries.repartition(partitions, "block").groupBy("block").applyInArrow(_count_columns, "batch long, info boolean, n long, data binary")
+    return replies.repartition(partitions, "batch").groupBy("batch").applyInArrow(_prefixes(threshold), ROWS)
 
 
 def join_components(
     docs: DataFrame, n: int = 4, threshold: Threshold = Threshold(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    docs = scratch.located(docs)  # read twice, and its bytes set the number of partitions
     rows = scratch.keep(incidence_rows(docs, n, threshold, key, text), "incidence")
     usable = rows.where("doc_id is not null and n_shingles > 0")
     # kept as tables of their own, so that the joins with them can split hot keys
@@ -319,7 +364,8 @@ def join_components(
     posts = posts.join(lists, F.col("gram") == F.col("l_gram")).select("doc", "n", "tail", "gram", "leader")
     posts = scratch.keep(posts, "posts")
     tried = scratch.keep(posts.where("doc <> leader").select("doc", "leader").distinct(), "tried")
-    links = verified_links(docs, tried, n, threshold, key, text)
+    grams = laid_out(docs, posts.select("doc"), n, key, text)
+    links = verified_links(grams, tried, threshold)
     links = links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     while True:
         labels = scratch.keep(connected_components(links), "labels")
@@ -327,7 +373,7 @@ def join_components(
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(verified_links(docs, pairs, n, threshold, key, text))
+        links = links.unionByName(verified_links(grams, pairs, threshold))
     labels = labels.select(F.col("id").alias("c_id"), "component")
     out = rows.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("c_id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

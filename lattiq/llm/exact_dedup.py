@@ -1,11 +1,13 @@
 """Exact deduplication by a streaming query with disk-backed keyed state.
 
-1. Every row is landed as (row locator, id, digest of the normalised text); the landing table is the stream.
+1. Every row is landed as (row locator, id, digest of the normalised text); the landing table is the stream, read in several triggers of
+   bounded bytes.
 2. A streaming aggregation keyed by digest keeps, in RocksDB state that never expires, the smallest
-   stable identifier, the locator of its content, and the number of rows.  Partial aggregation runs before
-   the shuffle, so a digest that holds a third of the rows sends one row per task.
-3. Full bytes are compared on hits: for every digest with more than one row the smallest and the largest
-   normalised text are the same bytes, or the digest collided and its rows are regrouped by their bytes.
+   stable identifier, the locator of its content, and the number of rows.  Later triggers hit the keys that earlier ones left.  Partial
+   aggregation runs before the shuffle, so a digest that holds a third of the rows sends one row per task.
+3. Full bytes are compared on hits, and of hit rows only: a sieve of their locators picks them from the texts in one scan after the
+   last trigger (a scan per trigger would read the table as often as there are triggers).  The smallest and the largest normalised text of a digest
+   are the same bytes, or the digest collided and its rows are regrouped by their bytes.
 
 Normalisation replaces each run of ASCII white space by one space.
 
@@ -30,8 +32,9 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: At most so many hit digests (about 100 bytes each) are broadcast; beyond, they are joined by a salted shuffle.
-BROADCAST_HITS = 100_000
+#: Triggers that a landing table takes at least (if it has as many files), and bytes of a trigger at most.
+TRIGGERS, TRIGGER_BYTES = 4, 1 << 36
+#: Parts in which the texts of a digest are compared.
 SALTS = 16
 
 
@@ -47,12 +50,16 @@ def _keeper() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))
 
 
-def run_stream(spark: SparkSession, landing: str, schema, files_per_batch: int | None = None) -> DataFrame:
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def run_stream(spark: SparkSession, landing: str, schema, triggers: int = TRIGGERS) -> DataFrame:
     """The state after the stream over the landing table: (digest, keep, group_size), one row per digest."""
     out, checkpoint = scratch.new_path(spark, "dedup-state"), scratch.new_path(spark, "dedup-checkpoint")
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    most = min(TRIGGER_BYTES, max(1, -(-_bytes_of(spark, landing) // triggers)))
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(most))
     state = reader.parquet(landing).groupBy("digest").agg(
         F.min(_keeper()).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
@@ -77,22 +84,16 @@ def run_stream(spark: SparkSession, landing: str, schema, files_per_batch: int |
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], fields)
-    if files_per_batch is None:
-        return states.select("digest", "keep", "group_size")
     # a digest is stored once per batch that touched it: the minimum and the count only move one way
     return states.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def _collided(texts: DataFrame, states: DataFrame) -> DataFrame:
-    """Digests whose rows are not all the same bytes."""
-    hits = scratch.keep(states.where("group_size > 1").select(F.col("digest").alias("hit")), "hits")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-    rows = texts.withColumn("salt", salt)
-    if hits.count() <= BROADCAST_HITS:
-        found = rows.join(F.broadcast(hits), F.col("digest") == F.col("hit"))
-    else:
-        spread = hits.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = rows.join(spread, (F.col("digest") == F.col("hit")) & (F.col("salt") == F.col("h_salt")))
+def _collided(docs: DataFrame, joined: DataFrame, text: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """Digests whose rows are not all the same bytes; ``joined`` has a group's size beside the locator of each of its rows."""
+    hits = scratch.sieve(joined.where("group_size > 1").select("row"), F.col("row"))
+    rows = docs.select(scratch.locator().alias("row"), F.col(text).alias("raw"))
+    found = scratch.sifted(rows, F.col("row"), hits, "hit").where("hit").select("row", normalised(F.col("raw")).alias("norm"))
+    found = found.select(digest(F.col("norm")).alias("digest"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), "norm")
     ends = found.groupBy("digest", "salt").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     whole = ends.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     return whole.where("least <> most").select("digest")
@@ -103,7 +104,7 @@ def exact_groups(
     key: str = "doc_id",
     text: str = "text",
     digest: Callable[[Column], Column] = _sha256,
-    files_per_batch: int | None = None,
+    triggers: int = TRIGGERS,
 ) -> DataFrame:
     """(row, doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``."""
     spark, docs = docs.sparkSession, scratch.located(docs)
@@ -118,10 +119,10 @@ def exact_groups(
     path = scratch.new_path(spark, "landing")
     landed.write.parquet(path)
     landed = spark.read.schema(landed.schema).parquet(path)
-    states = scratch.keep(run_stream(spark, path, landed.schema, files_per_batch), "states")
-    bad = scratch.keep(_collided(texts, states), "collided")
+    states = run_stream(spark, path, landed.schema, triggers)
     states = states.select(F.col("digest").alias("s_digest"), "keep", "group_size")
-    joined = landed.join(states, F.col("digest") == F.col("s_digest"))
+    joined = scratch.keep(landed.join(states, F.col("digest") == F.col("s_digest")).drop("s_digest"), "joined")
+    bad = scratch.keep(_collided(docs, joined, text, digest), "collided")
     if not bad.isEmpty():
         sure = joined.join(bad, "digest", "left_anti")
         split = texts.join(bad, "digest").select("row", "id", "digest", "norm", _sha256(F.col("norm")).alias("sha"))

@@ -3,12 +3,13 @@
 Random indexing: every token has a sparse ternary index vector drawn from its hash; a token's word vector is the sum of the
 index vectors of its neighbours over the fitting sample, scaled to length one.  Tokens are of two kinds: the
 word (lower case, letters only) and its shape (runs of capitals, small letters and digits reduced to one mark each, other
-characters as they are; a word that repeats the one before it has a shape of its own).  Both live in hashed
-tables of fixed size.  A document is the mean of its tokens' vectors.  The network has one hidden layer (tanh) and a logistic
+characters as they are; a word that repeats the one before it has a shape of its own).  The vocabulary of each kind is counted: what
+``LEAST_DOCS`` sampled documents have is an entry of its own, found by a 64-bit hash of the whole word or shape; all rarer ones share one.
+A document is the mean of its tokens' vectors.  The network has one hidden layer (tanh) and a logistic
 output; a temperature fitted on rows set aside turns its output into a calibrated probability of label 1.
 
 The fit takes at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids); vectors and features of the sample
-are made on the executors, the driver gets tables of fixed size and one short vector per sampled row.
+are made on the executors, the driver gets a vocabulary and tables of bounded size and one short vector per sampled row.
 
 Defined results: null and empty texts are pooled as a zero vector and scored like any other; rows with a null label are not
 learned from, of several labels of one id the smallest counts; with no labelled row the score is 0.5, with labels of one class only it
@@ -19,12 +20,13 @@ not read.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,11 @@ from . import scratch
 SAMPLE = 6000
 #: Tasks that the sample is read by; each sends the driver one table of word vectors.
 TASKS = 4
-WORDS, SHAPES, DIM, WINDOW = 1 << 13, 1 << 11, 64, 2
-SAME = 0
+DIM, WINDOW = 64, 2
+#: Entries of the vocabularies at most (the most frequent), and the sampled documents that an entry is found in at least.
+MOST_WORDS, MOST_SHAPES, LEAST_DOCS = 1 << 17, 1 << 12, 2
+#: Rows of the vectors that all rare words or shapes share, and of the shape of a repeated word.
+RARE, SAME = 0, 1
 MEMO = 150_000
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 5, 0
@@ -43,29 +48,63 @@ FOLDS, HELD_FOLD = 5, 0
 
 def shape_of(word: str) -> str:
     shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1", shape)[:12]
+    return re.sub(r"(.)\1{3,}", r"\1\1\1", shape)
+
+
+def hashes_of(token: str) -> tuple[int, int]:
+    """64-bit hashes of a token's word and shape."""
+    letters = token if token.isalpha() else "".join(c for c in token if c.isalpha())
+    return tuple(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in (letters.lower(), shape_of(token)))
+
+
+class Hashes(dict):
+    """token -> ``hashes_of`` it, of the tokens seen last."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) >= MEMO:
+            self.clear()
+        value = hashes_of(token)
+        if len(token) <= 64:
+            self[token] = value
+        return value
+
+
+class Vocabulary:
+    """Rows of words and shapes by their hashes."""
+
+    def __init__(self, words: list[int], shapes: list[int]):
+        self.words = {h: i + RARE + 1 for i, h in enumerate(words)}
+        self.shapes = {h: i + SAME + 1 for i, h in enumerate(shapes)}
+        self.n_words, self.n_shapes = len(words) + RARE + 1, len(shapes) + SAME + 1
 
 
 class Memo(dict):
-    """word * SHAPES + shape of a token, both hashed; shape 0 is kept for repeated words."""
+    """token -> row of its word * n_shapes + row of its shape."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held = vocabulary, 0
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO:
+        if self.held >= 16 * MEMO:
             self.clear()
-        letters = "".join(c for c in token if c.isalpha()).lower()
-        word = zlib.crc32(letters.encode("utf-8", "surrogatepass")) % WORDS
-        shape = 1 + zlib.crc32(shape_of(token).encode("utf-8", "surrogatepass")) % (SHAPES - 1)
-        value = self[token] = word * SHAPES + shape
+            self.held = 0
+        self.held += 8 + len(token)
+        word, shape = hashes_of(token)
+        v = self.vocabulary
+        value = self[token] = v.words.get(word, RARE) * v.n_shapes + v.shapes.get(shape, RARE)
         return value
 
 
 def token_ids(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Word and shape ids of a text's tokens."""
+    """Word and shape rows of a text's tokens."""
     tokens = text.split() if text else []
     both = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
-    words, shapes = both // SHAPES, both % SHAPES
+    words, shapes = both // memo.vocabulary.n_shapes, both % memo.vocabulary.n_shapes
     if len(words) > 1:
-        shapes[1:][words[1:] == words[:-1]] = SAME
+        again = np.flatnonzero((words[1:] == words[:-1]) & (words[1:] != RARE)) + 1
+        rare = np.flatnonzero((words[1:] == RARE) & (words[:-1] == RARE)) + 1
+        shapes[again] = SAME
+        shapes[[i for i in rare.tolist() if hashes_of(tokens[i])[0] == hashes_of(tokens[i - 1])[0]]] = SAME
     return words, shapes
 
 
@@ -79,11 +118,11 @@ def index_vectors(n: int, seed: int, ones: int = 6) -> np.ndarray:
     return out
 
 
-def contexts(texts: Iterator[str | None]) -> np.ndarray:
+def contexts(texts: Iterator[str | None], vocabulary: Vocabulary) -> np.ndarray:
     """Sums of the neighbours' index vectors, for words and then shapes."""
-    index = (index_vectors(WORDS, 1), index_vectors(SHAPES, 2))
-    total = np.zeros((WORDS + SHAPES, DIM), np.float32)
-    memo = Memo()
+    index = (index_vectors(vocabulary.n_words, 1), index_vectors(vocabulary.n_shapes, 2))
+    total = np.zeros((vocabulary.n_words + vocabulary.n_shapes, DIM), np.float32)
+    memo = Memo(vocabulary)
     for text in texts:
         words, shapes = token_ids(text, memo)
         if not len(words):
@@ -95,8 +134,10 @@ def contexts(texts: Iterator[str | None]) -> np.ndarray:
             around[:-step] += own[step:]
         # a word that repeats its neighbour, and odd shapes, speak for themselves as well
         around += index[1][shapes]
-        np.add.at(total, words, around)
-        np.add.at(total, WORDS + shapes, around)
+        for rows in (words, vocabulary.n_words + shapes):
+            order = np.argsort(rows, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0))
+            total[rows[order[first]]] += np.add.reduceat(around[order], first, axis=0)
     return total
 
 
@@ -104,9 +145,9 @@ def pooled(text: str | None, vectors: np.ndarray, memo: Memo) -> np.ndarray:
     words, shapes = token_ids(text, memo)
     if not len(words):
         return np.zeros(2 * DIM, np.float32)
-    by_shape = np.bincount(shapes, minlength=SHAPES)
+    by_shape = np.bincount(shapes, minlength=memo.vocabulary.n_shapes)
     some = np.flatnonzero(by_shape)
-    half = by_shape[some].astype(np.float32) @ vectors[WORDS + some]
+    half = by_shape[some].astype(np.float32) @ vectors[memo.vocabulary.n_words + some]
     return np.concatenate([vectors[words].mean(0), half / np.float32(len(words))])
 
 
@@ -154,12 +195,14 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 60, batc
                 params[i] -= 3e-3 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
     if len(aside) and 0 < y[aside].mean() < 1:
-        logits = net.logits(x[aside])
+        logits, ones = net.logits(x[aside]), y[aside].sum()
+        # targets smoothed by one row of each class, so that rows that happen to be told apart without a fault set no limit of zero
+        goal = np.where(y[aside] > 0, (ones + 1) / (ones + 2), 1 / (len(aside) - ones + 2))
 
         def loss(temperature: float) -> float:
-            return float(np.logaddexp(0, np.where(y[aside] > 0, -1, 1) * logits / temperature).mean())
+            return float((goal * np.logaddexp(0, -logits / temperature) + (1 - goal) * np.logaddexp(0, logits / temperature)).mean())
 
-        net.temperature = min(np.geomspace(1, 8, 61), key=loss)
+        net.temperature = float(min(np.geomspace(0.125, 8, 121), key=loss))
     return net
 
 
@@ -170,6 +213,7 @@ class Model:
     vectors: np.ndarray | None
     network: Network | None
     score: float = 0.5
+    vocabulary: Vocabulary = field(default_factory=lambda: Vocabulary([], []))
 
     def scores(self, texts: list[str | None], memo: Memo) -> np.ndarray:
         if self.network is None or not texts:
@@ -193,18 +237,41 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not 0 < ones < n:
         return Model(None, None, (ones + 1) / (n + 2) if n else 0.5)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, hashes = (Counter(), Counter()), Hashes()
+
+        def counted() -> pa.RecordBatch:
+            kinds = np.repeat(np.array([0, 1], np.int32), [len(c) for c in seen])
+            columns = [kinds, [h for c in seen for h in c], [k for c in seen for k in c.values()]]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["kind", "hash", "docs"])
+            for c in seen:
+                c.clear()
+            return out
+
+        for b in scratch.pieces_of(batches):
+            for t in b.column(0).to_pylist():
+                for c, own in zip(seen, zip(*map(hashes.__getitem__, set((t or "").split())), strict=True), strict=False):
+                    c.update(set(own))
+            if sum(map(len, seen)) > MEMO:
+                yield counted()
+        yield counted()
+
+    found = scratch.keep(rows.select("text").mapInArrow(count, "kind int, hash long, docs long").groupBy("kind", "hash").agg(F.sum("docs").alias("docs")), "vocabulary")
+    top = lambda kind, most: [r[0] for r in found.where((F.col("kind") == kind) & (F.col("docs") >= LEAST_DOCS)).orderBy(F.desc("docs"), "hash").limit(most).select("hash").collect()]
+    vocabulary = Vocabulary(top(0, MOST_WORDS), top(1, MOST_SHAPES))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = (t.as_py() for b in batches for t in b.column(0))
-        total = contexts(texts)
+        texts = (t for b in scratch.pieces_of(batches) for t in b.column(0).to_pylist())
+        total = contexts(texts, vocabulary)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    parts = rows.select("text").mapInArrow(gather, "total binary").collect()  # one table of fixed size per task
+    parts = rows.select("text").mapInArrow(gather, "total binary").collect()  # one table of bounded size per task
     vectors = sum(np.frombuffer(r[0], np.float32).reshape(-1, DIM) for r in parts)
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors = vectors.astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = Memo(vocabulary)
         for b in scratch.pieces_of(batches):
             x = [pooled(t, vectors, memo).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["id", "y", "x"])
@@ -212,14 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen = rows.mapInArrow(features, "id long, y int, x binary").collect()
     seen.sort(key=lambda r: (r.id, bytes(r.x)))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in seen]).astype(np.float64)
-    return Model(vectors, train(x, np.array([r.y for r in seen], np.float64)))
+    return Model(vectors, train(x, np.array([r.y for r in seen], np.float64)), vocabulary=vocabulary)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = Memo(model.vocabulary)
         for b in scratch.pieces_of(batches):
             found = model.scores(b.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
@@ -234,7 +301,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
+        memo = Memo(model.vocabulary)
         for b in scratch.pieces_of(batches):
             found = model.scores(b.column(at).to_pylist(), memo)
             yield b.filter(pa.array(found >= threshold))

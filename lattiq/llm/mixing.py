@@ -3,34 +3,35 @@
 Targets: the sources in code point order (null last) weigh 1, 2, 3, repeating, and share all words;
 a target stops at ``most`` times its source's words and the excess is shared again by weight.
 
-The documents of a source are laid out by falling size, their expected copies are prefix-summed,
-one random offset per source is added, and a document is emitted once per integer boundary that its
-stretch crosses.  The layout is cut into tiers (the ``FIRST`` largest documents, then ``GROWTH`` times as
-many, and so on); the expected copies of a tier are what the target still lacks after the tiers of larger
-documents, over the words that remain.  So what chance does with a few huge documents is made up for by
-the many small ones, and the taken words miss the target by about a small document.
+The documents of a source are laid out by falling size, their expected copies are prefix-summed in one sweep over the source, one random offset
+per source is added, and a document is emitted once per integer boundary that its stretch crosses.  All documents of a tier expect
+equally many copies: what the target still lacks after the larger documents, over the words that remain.  So what chance does with a few huge
+documents is made up for by the smaller ones.  Tiers grow from ``FIRST`` documents by ``GROWTH`` to the middle of the source and
+shrink again to its smallest documents, so that the last corrections are made with small change.  The prefix sum and the offset run on across tiers.
 
-A source may hold any share of the rows: the prefix sum is a rank, built from counts of
-(source, size class, salt) and ranks inside such a group.  DataFrame functions only; the driver holds a row per
-source and tier.
+Ranks in a source come from a range shuffle by (source, size, id, locator) and a count per range, so a source may hold any share of the rows,
+and the mix depends on the rows alone, not on the number of partitions.  Sources may be many: weights, targets and rates are tables, joined
+by source as Spark finds fit for their sizes.  The driver holds sums over all sources, and counts per range.
+DataFrame functions only.
 
 Defined results: null text has no words; documents without words are ranked but take nothing; a source
-without words has target 0; equal sizes are ordered by salt, id and locator; repeated rows count as rows of
+without words has target 0; equal sizes are ordered by id and locator; repeated rows count as rows of
 their own; an empty table gives an empty table; other columns, whatever their names, do not matter.  A locator is the row's
 file and its number there; ``docs`` that is no plain Parquet scan is first written as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .sharding import row_numbers
 
-#: Documents of a source in its first tier, and how many times more each further tier holds.
-FIRST, GROWTH = 16, 4
-#: Groups of the rank per shuffle partition, if that leaves them ``LEAST_ROWS`` rows.
-GROUPS, LEAST_ROWS = 8, 150
+#: Documents of a source in its first and in its last tier, and how many times more the next tier towards the middle holds.
+FIRST, GROWTH = 16, 8
+#: Tiers on each side of the middle, enough for 16 * 8**10 documents.
+SIDE = 12
 
 
 def words(text: Column) -> Column:
@@ -43,116 +44,96 @@ def words(text: Column) -> Column:
     return F.when(whole == "", F.lit(0)).otherwise(parts).cast("long")
 
 
-def fill_targets(sizes: list[tuple[str | None, int]], most: float = 3.0) -> dict[str | None, float]:
-    """Targets by source; sources come in code point order, null last."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
-    weight = {s: 1 + i % 3 for i, (s, _) in enumerate(ordered)}
-    cap = {s: most * n for s, n in ordered}
-    left, free, target = float(sum(n for _, n in ordered)), dict(weight), {s: 0.0 for s, _ in ordered}
-    while free:
-        each = left / sum(free.values())
-        over = [s for s, w in free.items() if w * each > cap[s]]
-        if not over:
-            target |= {s: w * each for s, w in free.items()}
+def fill_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
+    """``sizes(source, words)`` with ``target``: weights by rank in code point order (null last), filled up to the caps by rounds in which
+    two sums reach the driver."""
+    nulls_last = sizes.withColumn("no_source", F.col("source").isNull())
+    ranked = row_numbers(nulls_last, "no_source", "source").select(
+        "source", "words", (F.col("row_number") % 3 + 1).alias("weight"), (F.col("words") * F.lit(float(most))).alias("cap")
+    )
+    state = scratch.keep(ranked, "weights")
+    total = state.agg(F.sum("words")).first()[0] or 0
+    level, free = 0.0, F.lit(True)  # a source is free while its share at the level is not above its cap
+    while True:
+        capped, weight = state.select(F.when(free, None).otherwise(F.col("cap")).alias("c"), F.when(free, F.col("weight")).alias("w")).agg(F.sum("c"), F.sum("w")).first()
+        if not weight:
+            break
+        level = (total - (capped or 0.0)) / weight
+        over = free & (F.col("weight") * F.lit(level) > F.col("cap"))
+        if state.where(over).isEmpty():
             break
-        for s in over:
-            target[s] = cap[s]
-            left -= cap[s]
-            del free[s]
-    return target
+        free = free & ~(F.col("weight") * F.lit(level) > F.col("cap"))
+    return state.select("source", "words", F.when(free, F.col("weight") * F.lit(level)).otherwise(F.col("cap")).alias("target"))
 
 
 def _ranked(sized: DataFrame) -> DataFrame:
-    """``rank`` (from 0) of each row in its source by size class, salt, size and id; no group holds a whole source."""
-    spark = sized.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    group_rows = max(LEAST_ROWS, -(-sized.count() // (GROUPS * partitions)))
-    classed = sized.withColumn("size_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
-    counts = classed.groupBy("source", "size_class").count()
-    salts = counts.select(
-        F.col("source").alias("s_source"), F.col("size_class").alias("s_class"),
-        F.ceil(F.col("count") / group_rows).cast("int").alias("salts"),
-    )  # a row per source and size class
-    salted = classed.join(
-        F.broadcast(salts),
-        F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size_class") == F.col("s_class")),
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.col("salts")).cast("int"))
-    salted = salted.drop("s_source", "s_class", "salts")
-    groups = salted.groupBy("source", "size_class", "salt").count()
-    before = Window.partitionBy("source").orderBy(F.desc("size_class"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    starts = scratch.keep(
-        starts.select(
-            F.col("source").alias("g_source"), F.col("size_class").alias("g_class"), F.col("salt").alias("g_salt"), "before"
-        ),
-        "starts",
-    )
-    inside = Window.partitionBy("source", "size_class", "salt").orderBy(F.desc("size"), "doc_id", "row")
-    ranked = salted.withColumn("in_group", F.row_number().over(inside) - 1)
-    return ranked.join(
-        starts,
-        F.col("source").eqNullSafe(F.col("g_source"))
-        & (F.col("size_class") == F.col("g_class"))
-        & (F.col("salt") == F.col("g_salt")),
-    ).select("row", "doc_id", "source", "size", (F.col("before") + F.col("in_group")).alias("rank"))
+    """``rank`` (from 0) of each row in its source by falling size, id and locator, and ``n``, the documents of the source."""
+    numbered = row_numbers(sized.withColumn("smaller", -F.col("size")), "source", "smaller", "doc_id", "row").drop("smaller")
+    starts = numbered.groupBy("source").agg(F.min("row_number").alias("first"), F.count(F.lit(1)).alias("n"))
+    starts = scratch.keep(starts.select(F.col("source").alias("s_source"), "first", "n"), "source-starts")
+    joined = numbered.join(starts, F.col("source").eqNullSafe(F.col("s_source")))
+    return joined.select("row", "doc_id", "source", "size", (F.col("row_number") - F.col("first")).alias("rank"), "n")
 
 
-def _tier_start(tier: int) -> int:
-    """Rank of a tier's first document."""
-    return 0 if tier == 0 else FIRST * GROWTH ** (tier - 1)
+def _side(place: Column) -> Column:
+    """Tier of a place counted from an end."""
+    bounds = F.array(*[F.lit(FIRST * GROWTH**t).cast("long") for t in range(SIDE - 1)])
+    return F.size(F.filter(bounds, lambda b: b <= place))
 
 
 def _tiered(ranked: DataFrame) -> DataFrame:
-    """``tier`` and ``place`` (rank within the tier) of each row; bounds are compared as whole numbers."""
-    bounds = F.array(*[F.lit(_tier_start(t)).cast("long") for t in range(1, 24)])
-    tier = F.size(F.filter(bounds, lambda b: b <= F.col("rank")))
-    start = F.when(tier == 0, F.lit(0).cast("long")).otherwise(F.element_at(bounds, F.greatest(tier, F.lit(1))))
-    return ranked.withColumn("tier", tier).withColumn("place", F.col("rank") - start)
+    """``tier`` of each row: 0 to SIDE - 1 up to the middle of its source, 2 * SIDE - 1 for its smallest documents."""
+    back = F.col("n") - 1 - F.col("rank")
+    tier = F.when(F.col("rank") * 2 < F.col("n"), _side(F.col("rank"))).otherwise(2 * SIDE - 1 - _side(back))
+    return ranked.withColumn("tier", tier.cast("int"))
 
 
-def _copies(rate: Column, offset: Column) -> Column:
-    place = F.col("place")
-    return (F.floor((place + 1) * rate + offset) - F.floor(place * rate + offset)).cast("long")
+def _copies() -> Column:
+    """Integer boundaries within the stretch of a document: ``base`` is the prefix sum, offset included, before its tier."""
+    place = F.col("rank") - F.col("tier_first")
+    return (F.floor(F.col("base") + (place + 1) * F.col("rate")) - F.floor(F.col("base") + place * F.col("rate"))).cast("long")
 
 
 def mix(
     docs: DataFrame, most: float = 3.0, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
     """(row, doc_id, size, source, source_size, target, copies, taken) for every row of ``docs``; row is its locator."""
-    spark, docs = docs.sparkSession, scratch.located(docs)
+    docs = scratch.located(docs)
     sized = scratch.keep(
         docs.select(
             scratch.locator().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")
         ),
         "sized",
     )
-    tiered = scratch.keep(_tiered(_ranked(sized)), "tiered")
+    tiered = scratch.keep(_tiered(_ranked(sized)), "tiered", "tier")  # a folder per tier: a step reads its own
+    parts = tiered.groupBy("source", "tier").agg(F.sum("size").alias("words"), F.min("rank").alias("tier_first"), F.count(F.lit(1)).alias("docs"))
+    parts = scratch.keep(parts.withColumnRenamed("source", "p_source"), "parts")
+    sizes = scratch.keep(parts.groupBy(F.col("p_source").alias("source")).agg(F.sum("words").alias("words")), "source-sizes")
+    targets = scratch.keep(fill_targets(sizes, most), "targets")
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # a row per source and tier
-    parts = tiered.groupBy("source", "tier").agg(F.sum("size").alias("words"), F.first(offset).alias("offset")).collect()
-    totals: dict[str | None, int] = {}
-    for r in parts:
-        totals[r.source] = totals.get(r.source, 0) + r.words
-    targets = fill_targets(list(totals.items()), most)
-    lacks, remains, rates = dict(targets), dict(totals), []
-    schema = "r_source string, r_tier int, rate double, r_offset double"
-    same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("tier") == F.col("r_tier"))
-    for tier in sorted({r.tier for r in parts}):
-        here = [
-            (r.source, tier, min(most, max(0.0, lacks[r.source] / remains[r.source])) if remains[r.source] else 0.0, r.offset)
-            for r in parts
-            if r.tier == tier
-        ]
-        rates += here
-        for r in parts:
-            remains[r.source] -= r.words if r.tier == tier else 0
-        step = tiered.where(F.col("tier") == tier).join(F.broadcast(spark.createDataFrame(here, schema)), same)
-        took = step.groupBy("source").agg(F.sum(_copies(F.col("rate"), F.col("r_offset")) * F.col("size")))
-        for name, n in took.collect():
-            lacks[name] -= n
-    plan = [(*r, totals[r[0]], targets[r[0]]) for r in rates]
-    table = spark.createDataFrame(plan, schema + ", source_size long, target double")
-    out = tiered.join(F.broadcast(table), same).withColumn("copies", _copies(F.col("rate"), F.col("r_offset")))
+    # what a source still lacks, the words that remain to take it from, and the prefix sum so far
+    state = targets.select("source", F.col("target").alias("lacks"), F.col("words").alias("remains"), offset.alias("base"))
+    rates: DataFrame | None = None
+    for tier in sorted(r[0] for r in parts.select("tier").distinct().collect()):  # at most 2 * SIDE
+        here = parts.where(F.col("tier") == tier).drop("tier")
+        joined = state.join(here, F.col("source").eqNullSafe(F.col("p_source")), "left")
+        share = F.when(F.col("remains") > 0, F.col("lacks") / F.col("remains")).otherwise(F.lit(0.0))
+        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), share))
+        step = joined.select("source", "lacks", "remains", "base", "words", "tier_first", "docs", F.when(F.col("docs") > 0, rate).alias("rate"))
+        step = scratch.keep(step, "step")
+        own = step.where("rate is not null").select(F.col("source").alias("r_source"), F.lit(tier).alias("r_tier"), "tier_first", "base", "rate")
+        rates = own if rates is None else rates.unionByName(own)
+        rows = tiered.where(F.col("tier") == tier).join(own, F.col("source").eqNullSafe(F.col("r_source")))
+        took = rows.groupBy(F.col("source").alias("t_source")).agg(F.sum(_copies() * F.col("size")).alias("took"))
+        state = step.join(took, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
+            "source", (F.col("lacks") - F.coalesce("took", F.lit(0))).alias("lacks"), (F.col("remains") - F.coalesce("words", F.lit(0))).alias("remains"),
+            F.when(F.col("rate").isNull(), F.col("base")).otherwise(F.col("base") + F.col("docs") * F.col("rate")).alias("base"),
+        )
+    if rates is None:
+        return sized.select("row", "doc_id", "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), *[F.lit(0).cast("long").alias(c) for c in ("copies", "taken")])
+    goals = targets.select(F.col("source").alias("g_source"), F.col("words").alias("source_size"), "target")
+    plan = scratch.keep(rates.join(goals, F.col("r_source").eqNullSafe(F.col("g_source"))).drop("g_source"), "rates")
+    out = tiered.join(plan, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("tier") == F.col("r_tier"))).withColumn("copies", _copies())
     return out.select(
         "row", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -52,11 +52,11 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it from there from now on."""
+def keep(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder, with a folder per value of ``folders``, and read it from there from now on."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,8 @@ before the fault is read.
 Defined results: a null payload is empty; a null id is written as ``null`` and read as null, and is never the smallest;
 rows that share the smallest id of their payload are all responses; line breaks in a URL become spaces, a null URL
 becomes the record's own name; an empty table gives no record; other columns are not read.
-Archives are read whole, one at a time per task; the writer ends an archive after ``RECORDS_PER_FILE`` records.
+Archives are read whole, one at a time per task; the writer ends an archive after ``CHUNKS`` chunks of members, each as long as ``CHUNK_BYTES`` or one
+record.  A member that inflates to more than ``MOST_INFLATED`` bytes is read up to there.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 from . import scratch
 
 SMALLEST_REVISIT = 100
-RECORDS_PER_FILE = 4096
+#: Bytes of members that are written as one row of the text sink, and rows of an archive.
+CHUNK_BYTES, CHUNKS = 1 << 21, 16
+#: Bytes of a member's content at most.
+MOST_INFLATED = 1 << 30
 VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 #: A gzip member that holds nothing.
 EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
@@ -74,26 +78,33 @@ def with_roles(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.length(payload).cast("long").alias("size")
     )
-    large = rows.where(F.col("size") >= SMALLEST_REVISIT)
+    large = rows.where(F.col("size") >= SMALLEST_REVISIT).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = groups.where("n > 1 and first_id is not null").select(F.col("digest").alias("g_digest"), "first_id")
-    joined = rows.join(groups, F.col("digest") == F.col("g_digest"), "left")
+    groups = scratch.keep(groups, "payload-groups")
+    # payloads that surely occur once need no join, so that only possible copies are shuffled, if the groups are too many to be broadcast
+    marked = scratch.sifted(rows, F.col("digest"), scratch.sieve(groups, F.col("g_digest")), "copied")
+    columns = ["page_id", "url", "payload", "digest", "size"]
+    joined = marked.where("copied").join(groups, F.col("digest") == F.col("g_digest"), "left")
     same = F.col("page_id").eqNullSafe(F.col("first_id"))
-    refers_to = F.when(same, F.lit(None)).otherwise(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "digest", "size", refers_to.cast("long").alias("refers_to"))
+    refers_to = F.when(same, F.lit(None)).otherwise(F.col("first_id")).cast("long").alias("refers_to")
+    return joined.select(*columns, refers_to).unionByName(marked.where("not copied").select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
     """Write the archives of ``pages`` into the folder ``path``."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, length = [], 0
         for part in scratch.pieces_of(batches, 256):
-            rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
-            out = [
-                gzip.compress(build_record(i, url, data, digest, size, ref, ref is not None), 6, mtime=0)
-                for i, url, data, digest, size, ref in rows
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for i, url, data, digest, size, ref in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held.append(gzip.compress(build_record(i, url, data, digest, size, ref, ref is not None), 6, mtime=0))
+                length += len(held[-1])
+                if length >= CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, length = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
     rows = with_roles(pages, **columns).mapInArrow(members, "value binary")
     (
@@ -101,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
         .option("compression", "none")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", CHUNKS)
         .text(path)
     )
 
@@ -148,13 +159,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 def inflate(data: bytes, at: int, careful: int | None = None) -> tuple[bytes, int, str]:
     """(content, end, fault) of the gzip member at ``at``; with a fault, what was inflated before it and where it showed.
     From ``careful`` on single bytes are fed, as a failing step returns nothing."""
-    engine, out, fed = zlib.decompressobj(31), [], at
+    engine, out, fed, length = zlib.decompressobj(31), [], at, 0
     while not engine.eof:
+        if length > MOST_INFLATED:
+            return b"".join(out), fed, "gzip member is too long"
         if fed >= len(data):
             return b"".join(out), len(data), "gzip member has no end"
         step = STEP if careful is None or fed < careful else 1
         try:
             out.append(engine.decompress(data[fed : fed + step]))
+            length += len(out[-1])
         except zlib.error as e:
             if step > 1:
                 return inflate(data, at, fed)

@@ -201,6 +201,22 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert kinds == {"gap": 1, "record": 1}
 
 
+def test_warc_archives_end_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "CHUNKS", 2)
+    rows = [(i, "u", random.Random(i).randbytes(700_000).hex()) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "out"))
+    sizes = [f.stat().st_size for f in (tmp_path / "out").glob("*.txt")]
+    assert len(sizes) > 1 and max(sizes) < 2 * (warc.CHUNK_BYTES + 800_000)
+    found = warc.read_archives(spark, str(tmp_path / "out"), payloads=False).collect()
+    assert sorted(r.payload_digest for r in found) == sorted(hashlib.sha256(h.encode()).hexdigest() for _, _, h in rows)
+    monkeypatch.setattr(warc, "MOST_INFLATED", 50_000)
+    import gzip
+
+    content, _, fault = warc.inflate(gzip.compress(random.Random(1).randbytes(300_000)), 0)
+    assert fault == "gzip member is too long" and len(content) >= 50_000
+
+
 def test_warc_very_long_url(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://" + "u" * (1 << 21), "<p>"), (2, "v", "<p>")], "page_id long, url string, html string")
     assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 2]
@@ -258,6 +274,100 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_recall_and_lengths(spark):
+    """Links around the threshold among vectors that fill several regions, and two lengths in one table."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    base, noise = x[:4000], rng.standard_normal((4000, 32))
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    near = rng.uniform(0.94, 0.97, (4000, 1))
+    x[-4000:] = near * base + np.sqrt(1 - near**2) * noise
+    x = x.astype(np.float32)
+    short = [[1.0, 1.0], [2.0, 2.0], [1.0, -1.0], [1.0, 1.01], [5.0], [7.0]]
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(n + i, v) for i, v in enumerate(short)] + [(n + 6, short[2]), (n + 6, short[0])]
+    got = {}
+    for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got[r.vec_id] = r
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = np.concatenate([(unit[at : at + 2000] @ unit.T >= 0.95).sum(1) - 1 for at in range(0, n, 2000)])
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= linked).all() and found.sum() >= 0.99 * linked.sum() > 4000
+    assert [got[n + i].component_id - n for i in range(7)] == [0, 0, 0, 0, 4, 4, 0]  # n + 6 has two vectors, which join [1, 1] and [1, -1]
+    index = embedding_dedup.Index.fitted(unit[:5000], 100_000, 0.95, 0.998, 1)
+    _, _, (query, region, cell) = index.place(unit[:500])
+    assert len(np.unique(np.stack([query, region]), axis=1).T) < 12 * 500
+    turned, cut = unit[:500] @ index.turn, 16
+    one, two = (embedding_dedup.half_bounds(part, book)[1] for part, book in zip((turned[:, :cut], turned[:, cut:]), index.books, strict=True))
+    for q in range(20):  # in the order of the traversal, nearest first, and none left out
+        own = cell[query == q]
+        sums = one[q, own // len(index.books[1])] + two[q, own % len(index.books[1])]
+        assert (np.diff(sums) >= 0).all() and len(own) == (one[q][:, None] + two[q][None] <= index.radius).sum()
+
+
+def test_embeddings_without_a_valid_vector(spark):
+    rows = [(1, None), (2, [0.0]), (2, [float("nan"), 1.0])]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
+
+
+def plain_secrets(text):
+    """The base kinds by the patterns as they are stated, match by match."""
+    kinds = {
+        "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
+    }
+    least, found = {"assign": 8, "access": 16, "hex": 32}, []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= least[kind]:
+                found.append((kind, m.start(), m.end()))
+    return sorted(found, key=lambda x: (x[1], list(kinds).index(x[0])))
+
+
+def test_secrets_against_a_plain_scan(spark):
+    """Base spans of the given documents and of made ones, and the linked ones against all pairs of parts."""
+    rng = random.Random(12)
+    bits = ["password", "PassWD=", "secret:", " = ", '"', "token", "api_key", "APIKEY: ", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "x" * 9, "\n", "\n\n", "é", "ſ",
+            "user=bob1", "login: alice", "Zx9kLm2PqR7tUv4wYz1BcD", "https://h.example/x", "db.local:5432", " ", "words and words " * 9]
+    made = [(10**6 + i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))) for i in range(600)]
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = given.union(spark.createDataFrame(made, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secret_scan.scan(docs).collect():
+        base = plain_secrets(texts[r.doc_id])
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex"))
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+    for _ in range(300):
+        spans = lambda k: sorted((s, s + rng.randint(1, 90), "x") for s in rng.sample(range(1000), k))
+        some, others, breaks = spans(8), spans(6), sorted(rng.sample(range(1000), 5))
+        runs = [(100, 300), (500, 900)]
+        block = lambda at, b=breaks: sum(x <= at for x in b)
+        run = lambda at: [i for i, (s, e) in enumerate(runs) if s <= at <= e]
+        expected = [
+            any((o[0] <= x[1] + 20 and o[1] >= x[0] - 20 and block(o[0]) == block(x[0])) or (run(x[0]) and run(x[0]) == run(o[0])) for o in others) for x in some
+        ]
+        assert secret_scan.near(some, others, breaks, 20, runs) == expected
+
+
+def test_secrets_scopes_and_long_texts():
+    import time
+
+    kinds = lambda text: {s.split(":")[0] for s in secret_scan.scan_text(text)[4].split(",")} - {""}
+    opaque, filler = "Zx9kLm2PqR7tUv4wYz1BcD", "\n".join(f"name{i} = {i}" for i in range(60))
+    assert kinds(f"[db]\naccess_key_id = bob1\n\n# next\n{filler}\nvalue = {opaque}\nurl = https://h.example/x") == {"ident", "opaque", "endpoint"}
+    assert kinds(f"access_key_id = bob1\n{'prose, no setting. ' * 30}\n\nvalue {opaque}") == set()
+    assert kinds(f"user=alice1 {opaque} at db.example.com:5432, not a..b:5432 or :99") == {"ident", "opaque", "endpoint"}
+    for run in ("a-" * 500_000, "a." * 500_000, "9" * 1_000_000, "a=b\n" * 250_000, "http:/" * 150_000, f"user=ab1 {opaque} " * 20_000):
+        began = time.perf_counter()
+        secret_scan.scan_text("user=alice " + run)
+        assert time.perf_counter() - began < 6  # seconds where a quadratic pattern takes hours
+
+
 def test_secrets(docs, none, spark):
     hexes, key = "0123456789abcdef" * 2, "AKIA" + "Q" * 16
     texts = [
@@ -276,7 +386,7 @@ def test_secrets(docs, none, spark):
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(docs, none, weak):
-    options = {"digest": lambda t: (F.length(t) % 7).cast("string"), "files_per_batch": 1} if weak else {}
+    options = {"digest": lambda t: (F.length(t) % 7).cast("string"), "triggers": 3} if weak else {}
     rows = exact_dedup.exact_groups(docs, **options).collect()
     groups = defaultdict(list)
     for r in docs.collect():
@@ -292,6 +402,42 @@ def test_exact_dedup(docs, none, weak):
     assert kept.columns == docs.columns and sorted(norm(r.text) for r in kept.collect()) == sorted(groups)
 
 
+def test_exact_dedup_hits_the_state_of_earlier_triggers(spark, tmp_path):
+    """Copies of one text in several files: as many triggers as files touch its key, and the locator of the smallest id stays."""
+    schema = "row " + scratch.LOCATOR + ", id long, digest string"
+    for part in range(4):
+        rows = [((part, i), 100 - 10 * part + i, "same" if i == 0 else f"d{part}-{i}") for i in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    batches = []
+    keep = exact_dedup.scratch.new_path
+    exact_dedup.scratch.new_path = lambda s, name: batches.append(keep(s, name)) or batches[-1]
+    try:
+        states = exact_dedup.run_stream(spark, str(tmp_path / "landing"), spark.read.parquet(str(tmp_path / "landing")).schema, triggers=4)
+    finally:
+        exact_dedup.scratch.new_path = keep
+    found = {r.digest: r for r in states.collect()}
+    assert len(found) == 9 and (found["same"].group_size, found["same"].keep.id, tuple(found["same"].keep.row)) == (4, 70, (3, 0))
+    touched = spark.read.parquet(batches[0]).where("digest = 'same'").select("group_size").collect()
+    assert sorted(r.group_size for r in touched)[-1] == 4 and len(touched) > 1
+
+
+def test_sieve(spark):
+    keys = spark.range(0, 20_000, 7).select(F.col("id").cast("string").alias("k"))
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    found = scratch.sifted(rows, F.col("k"), scratch.sieve(keys, F.col("k")), "hit")
+    assert found.where("k % 7 = 0 and not hit").count() == 0 and found.where("hit").count() < 2900
+    assert scratch.sifted(rows, F.col("k"), scratch.sieve(keys.limit(0), F.col("k")), "hit").where("hit").count() == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 100] * 50 + ["y" * 10_000] + ["z"] * 9})
+    parts = list(scratch.pieces_of([batch], rows=40, most=1000))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts) and max(p.num_rows for p in parts) <= 40
+
+
 def test_sharding(docs, none, spark):
     rows = sharding.assign_shards(docs, shards=4).collect()
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in docs.collect())
@@ -325,25 +471,105 @@ def test_quality(docs, none, spark):
     assert quality.fit(learn, labels.limit(0)).score == 0.5 and quality.fit(learn, labels.where("quality = 1")).network is None
 
 
-def test_mixing(docs, none):
+def test_quality_vectors_and_score_by_hand(spark):
+    """Vectors, pooling and probability recomputed token by token, and log loss and calibration on held-out rows."""
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in ("ba", "du", "ki", "Lo", "MA") for b in ("n", "ster", "x1", "!!", "")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))) for _ in range(20)] + ["", "same same same", "x" * 500]
+    seen = [Counter(), Counter()]
+    for t in texts:
+        for c, own in zip(seen, zip(*map(quality.hashes_of, set(t.split())), strict=True), strict=False):
+            c.update(set(own))
+    v = quality.Vocabulary(*[sorted(h for h, n in c.items() if n > 1) for c in seen])
+    total = quality.contexts(iter(texts), v)
+    index = quality.index_vectors(v.n_words, 1), quality.index_vectors(v.n_shapes, 2)
+    expected = np.zeros_like(total)
+    for t in texts:
+        words, shapes = quality.token_ids(t, quality.Memo(v))
+        assert len(words) == len(t.split())
+        for i in range(len(words)):
+            near = [j for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
+            around = sum((index[0][words[j]] + index[1][shapes[j]] for j in near), index[1][shapes[i]].copy())
+            expected[words[i]] += around
+            expected[v.n_words + shapes[i]] += around
+    assert np.allclose(total, expected, atol=1e-3)
+    words, shapes = quality.token_ids("same same same", quality.Memo(v))
+    assert shapes[1] == shapes[2] == quality.SAME != shapes[0]
+    rows = []
+    for i in range(900):  # label 1 with a chance that depends on the text
+        odd = rng.random()
+        rows.append((i, " ".join(rng.choice(["zig", "zag"]) if rng.random() < odd else rng.choice(["the", "of"]) for _ in range(30)), int(rng.random() > odd)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    held = [(r.score, rows[r.doc_id][2], r.predicted) for r in quality.score(docs, model).collect() if r.held_out]
+    p, y = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+    bins = np.minimum((p * 5).astype(int), 4)
+    gap = sum(abs(p[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert loss < 0.62 and gap < 0.12 and all(r[2] == (r[0] >= 0.3) for r in held)
+    x = quality.pooled(rows[0][1], model.vectors, quality.Memo(model.vocabulary))
+    net = model.network
+    hidden = np.tanh(((x - net.mean) / net.scale) @ net.w1 + net.b1)
+    assert model.scores([rows[0][1]], quality.Memo(model.vocabulary))[0] == pytest.approx(1 / (1 + np.exp(-(hidden @ net.w2 + net.b2) / net.temperature)))
+
+
+def filled(sizes, most=3.0):
+    """Targets by source, round by round in plain Python."""
+    ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, free = {s: 1 + i % 3 for i, s in enumerate(ordered)}, {}, set(sizes)
+    while free:
+        left = sum(sizes.values()) - sum(target.values())
+        over = {s for s in free if weight[s] * left / sum(weight[f] for f in free) > most * sizes[s]}
+        if not over:
+            return target | {s: weight[s] * left / sum(weight[f] for f in free) for s in free}
+        target |= {s: most * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+def test_mixing(spark, docs, none):
     rows = mixing.mix(docs).collect()
     sizes = Counter()
     for r in docs.collect():
         sizes[r.source] += len(words_of(r.text))
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len(words_of(r.text))) for r in docs.collect())
-    targets = mixing.fill_targets(list(sizes.items()))
+    targets = filled(sizes)
     for r in rows:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source]) and 0 <= r.taken <= 3 * r.size
-    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    for n in (1, 64):  # the mix is the same for every number of partitions
+        with scratch.settings(spark, {"spark.sql.shuffle.partitions": str(n), "spark.sql.files.maxPartitionBytes": str(10_000 * n)}):
+            assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     assert mixing.mix(none).count() == 0
     many = mixing.mixed_documents(docs)
     assert many.columns == docs.columns and sum(len(words_of(r.text)) for r in many.collect()) == sum(r.taken for r in rows)
 
 
-def test_targets_fill_up():
-    t = mixing.fill_targets([("a", 10), ("b", 1), (None, 89)])
+def test_mixing_meets_its_targets(spark, tmp_path):
+    """Ties, one document that holds most of its source, sources of few and of many documents."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([3, 3, 3, 7, 50, 400]), f"s{i % 4}") for i in range(1200)] + [(2000 + i, "w " * 5, "ties") for i in range(300)]
+    rows += [(3000, "w " * 9000, "huge")] + [(3001 + i, "w " * rng.randint(1, 40), "huge") for i in range(300)]
+    rows += [(4000 + i, "w " * (i + 1), "few") for i in range(12)] + [(5000, None, None), (5001, "w", None)]
+    table(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    found = mixing.mix(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in found:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for source, goal in target.items():
+        assert abs(taken[source] - goal) <= max(10, 0.004 * goal), (source, goal, taken[source])
+    # one prefix sum and one offset: within a tier, copies differ by at most one
+    assert {r.copies for r in found if r.source == "ties"} <= {k for c in [min(r.copies for r in found if r.source == "ties")] for k in (c, c + 1, c + 2)}
+
+
+def test_targets_fill_up(spark):
+    fill = lambda rows: {r.source: r.target for r in mixing.fill_targets(spark.createDataFrame(rows, "source string, words long")).collect()}
+    t = fill([("a", 10), ("b", 1), (None, 89)])
     assert t["b"] == 3 and sum(t.values()) == pytest.approx(100) and t[None] / t["a"] == pytest.approx(3)
-    assert mixing.fill_targets([("a", 0), ("b", 5)]) == {"a": 0, "b": pytest.approx(5)}
+    assert fill([("a", 0), ("b", 5)]) == {"a": 0, "b": pytest.approx(5)}
+    rng = random.Random(8)
+    sizes = {f"s{i}": rng.choice([0, 1, 5, 100, 10_000]) for i in range(40)}
+    assert fill(list(sizes.items())) == pytest.approx(filled(sizes))
 
 
 def test_language(docs, none, spark):
@@ -390,6 +616,18 @@ def test_language_reads_all_of_unspaced_text(spark):
     assert language_id.words_in("don't") == ["don't"]
 
 
+def test_viterbi_against_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        docs = [rng.normal(0, 2, (rng.integers(1, 6), 3)) for _ in range(3)]
+        for scores, path in zip(docs, language_id.decode(docs, 2.5), strict=True):
+            value = lambda p, s=scores: sum(s[i, x] for i, x in enumerate(p)) - 2.5 * sum(a != b for a, b in itertools.pairwise(p))
+            best = max(itertools.product(range(3), repeat=len(scores)), key=value)
+            assert value(path.tolist()) == pytest.approx(value(best))
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(300):

@@ -318,6 +318,9 @@ def near_duplicates(
         found = scratch.keep(found.applyInArrow(_product(threshold, dtype), "kind int, a long, b long"), "found")
         counts = found.where("kind = 0").groupBy(F.col("a").alias("q_rep")).agg(F.sum("b").alias("near"))
         links = found.where("kind = 1").select("a", "b")
+    # rows of one id in several classes join them
+    both = of.groupBy(F.col("vec_id").alias("o_id")).agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high")
+    links = links.unionByName(of.join(both, F.col("vec_id") == F.col("o_id")).where("rep <> b").select(F.col("rep").alias("a"), "b"))
     labels = connected_components(links).select(F.col("id").alias("c_rep"), "component")
     known = of.join(counts, F.col("rep") == F.col("q_rep"), "left").join(labels, F.col("rep") == F.col("c_rep"), "left")
     known = known.groupBy("vec_id").agg(

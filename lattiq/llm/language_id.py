@@ -241,6 +241,9 @@ def label_words(texts: list[str | None], model: Model, words: Words, penalty: fl
 
 def spans_of(text: str, tokens: list[str], labels: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
     """(start, end, language) of runs of equally labelled words, in code points."""
+    if len(tokens) and (labels == labels[0]).all():
+        start = text.index(tokens[0])
+        return [(start, text.rindex(tokens[-1]) + len(tokens[-1]), languages[labels[0]])]
     spans, at = [], 0
     for token, label in zip(tokens, labels.tolist(), strict=True):
         start = text.index(token, at)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import session
 from . import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, quality, secret_scan, sharding, warc
@@ -53,7 +54,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.fit(docs))
+    found = language_id.identify(docs, language_id.fit(docs), spans=True)
+    named = F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"]))
+    return found.withColumn("spans", F.array_join(named, ","))
 
 
 OPERATORS = (

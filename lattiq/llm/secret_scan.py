@@ -108,7 +108,7 @@ def near(spans: list[Span], others: list[Span], breaks: list[int], reach: int, r
             block = bisect_right(breaks, others[at][0])
             farthest[block] = max(farthest.get(block, -1), others[at][1])
             at += 1
-        answer[s, e, kind] = farthest.get(bisect_right(breaks, s), -1) >= s - reach
+        answer[s, e, kind] = farthest.get(bisect_right(breaks, s), -math.inf) >= s - reach
     for span in spans:
         found.append(answer[span] or bool(held) and section(span[0]) in held)
     return found

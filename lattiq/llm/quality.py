@@ -38,7 +38,9 @@ SAMPLE = 6000
 TASKS = 4
 DIM, WINDOW = 64, 2
 #: Entries of the vocabularies at most (the most frequent), and the sampled documents that an entry is found in at least.
-MOST_WORDS, MOST_SHAPES, LEAST_DOCS = 1 << 17, 1 << 12, 2
+MOST_WORDS, MOST_SHAPES, LEAST_DOCS = 1 << 15, 1 << 11, 2
+#: Rows of the table of vectors that are summed up over the tasks at a time.
+ROWS_AT_ONCE = 1 << 12
 #: Rows of the vectors that all rare words or shapes share, and of the shape of a repeated word.
 RARE, SAME = 0, 1
 MEMO = 150_000
@@ -263,10 +265,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t for b in scratch.pieces_of(batches) for t in b.column(0).to_pylist())
         total = contexts(texts, vocabulary)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        starts = range(0, len(total), ROWS_AT_ONCE)
+        sums = [total[at : at + ROWS_AT_ONCE].tobytes() for at in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(sums, pa.binary())], names=["first", "sums"])
 
-    parts = rows.select("text").mapInArrow(gather, "total binary").collect()  # one table of bounded size per task
-    vectors = sum(np.frombuffer(r[0], np.float32).reshape(-1, DIM) for r in parts)
+    def add(table: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(b, np.float32) for b in table["sums"].to_pylist())
+        return pa.table({"first": table["first"][:1], "sums": pa.array([whole.tobytes()], pa.binary())})
+
+    parts = rows.select("text").mapInArrow(gather, "first long, sums binary").groupBy("first").applyInArrow(add, "first long, sums binary")
+    vectors = np.frombuffer(b"".join(r[1] for r in sorted(parts.collect())), np.float32).reshape(-1, DIM)  # one table of bounded size
     vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors = vectors.astype(np.float32)
 

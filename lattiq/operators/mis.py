@@ -1,7 +1,8 @@
 """Maximal independent set: the greedy set under the total order (priority, id).
 
 Each round an undecided vertex is left out if a better neighbour is in, and taken in if every better neighbour
-is out.  Styles: ``pull`` looks at better neighbours, ``push`` has the included tell their neighbours, ``edge`` marks the ends of
+is out.  Topology-driven rounds (``mis``) take every vertex; data-driven ones (``mis_data``) only the undecided ones and the edges between
+them.  Styles: ``pull`` looks at better neighbours, ``push`` has the included tell their neighbours, ``edge`` marks the ends of
 edges that lose and takes in what is not marked.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import mis_priority
 from ..graph import Graph
-from ..plans.iterate import DidNotConverge, cut
+from ..plans.iterate import DidNotConverge, cut, release
 
 UNDECIDED, INCLUDED, EXCLUDED = 0, 1, 2
 MODES = ("u32", "s32", "u32_mod1000", "u64", "u64_mod")
@@ -49,12 +50,52 @@ def mis(g: Graph, style: str = "pull", mode: str = "u32", max_iter: int = 100_00
             .when(F.coalesce("waits", F.lit(False)), F.lit(UNDECIDED))
             .otherwise(F.lit(INCLUDED))
         )
-        state = cut(joined.select("id", new.alias("status")))
+        before, state = state, cut(joined.select("id", new.alias("status")))
+        release(before)
         if state.where(F.col("status") == UNDECIDED).isEmpty():
+            release(better)
             return state
     raise DidNotConverge(max_iter)
 
 
+def mis_data(g: Graph, style: str = "push", mode: str = "u32", max_iter: int = 100_000) -> DataFrame:
+    """(id, status) as ``mis``: a worklist of undecided vertices, which shrinks together with the edges between them.
+
+    ``push``: who has no better neighbour left goes in and tells its neighbours; ``pull``: every vertex of the worklist looks at its better
+    neighbours; ``edge``: every edge marks its worse end as waiting and, if its better end goes in, as beaten.
+    """
+    if style not in ("push", "pull", "edge"):
+        raise ValueError(f"unknown style {style!r}")
+    better, work = cut(better_edges(g, mode)), cut(g.vertices.select("id"))
+    decided: list[DataFrame] = []
+    for _ in range(max_iter):
+        waiting = better.select(F.col("v").alias("b_v")).distinct()
+        inside = cut(work.join(waiting, F.col("id") == F.col("b_v"), "left_anti"))
+        chosen = inside.select(F.col("id").alias("i_id"))
+        if style == "push":
+            beaten = better.join(chosen, F.col("w") == F.col("i_id"), "left_semi").select(F.col("v").alias("id")).distinct()
+        elif style == "pull":
+            looked = better.join(chosen, F.col("w") == F.col("i_id"), "left").groupBy("v").agg(F.bool_or(F.col("i_id").isNotNull()).alias("beaten"))
+            beaten = looked.where("beaten").select(F.col("v").alias("id"))
+        else:
+            marks = better.join(chosen, F.col("w") == F.col("i_id"), "left").select("v", F.when(F.col("i_id").isNotNull(), 2).otherwise(1).alias("mark"))
+            beaten = marks.groupBy("v").agg(F.max("mark").alias("mark")).where("mark = 2").select(F.col("v").alias("id"))
+        beaten = cut(beaten)
+        decided += [inside.select("id", F.lit(INCLUDED).alias("status")), beaten.select("id", F.lit(EXCLUDED).alias("status"))]
+        left = cut(work.join(inside.union(beaten), "id", "left_anti"))
+        of = lambda end: left.select(F.col("id").alias(f"{end}_id"))
+        rest = better.join(of("v"), F.col("v") == F.col("v_id"), "left_semi").join(of("w"), F.col("w") == F.col("w_id"), "left_semi")
+        old, work, better = (work, better), left, cut(rest)
+        for table in old:
+            release(table)
+        if work.isEmpty():
+            found = decided[0]
+            for part in decided[1:]:
+                found = found.unionByName(part)
+            return found
+    raise DidNotConverge(max_iter)
+
+
 def size_of(status: DataFrame) -> DataFrame:
     """One row: members and their percentage."""
     members = F.count_if(F.col("status") == INCLUDED)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import cut, release
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
@@ -18,17 +18,23 @@ def _roots(hooks: DataFrame) -> DataFrame:
     while True:
         up = parent.select(F.col("rep").alias("root"), F.col("root").alias("next"))
         jumped = cut(parent.join(up, "root", "left").select("rep", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
-        parent = jumped.select("rep", "root")
+        before, parent = parent, jumped.select("rep", "root")
+        release(before)
         if jumped.where("moved").isEmpty():
             return parent
 
 
-def mst(g: Graph, style: str = "edge") -> DataFrame:
+def mst(g: Graph, style: str = "edge", driver: str = "data") -> DataFrame:
     """(eid, src, dst, weight) of the forest's edges, each once (src < dst).
 
-    ``edge`` scans all edges that still cross components; ``vertex`` first reduces them to each vertex's least edge.
+    ``edge`` scans all edges that still cross components; ``vertex`` first reduces them to each vertex's least edge.  ``data`` rounds carry the
+    crossing edges on; ``topo`` rounds take all edges again and look up both ends' components.
     """
-    live = cut(g.upper().select("eid", "src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
+    if style not in ("edge", "vertex") or driver not in ("topo", "data"):
+        raise ValueError(f"unknown style {style!r} or driver {driver!r}")
+    every = g.upper().select("eid", "src", "dst", "weight")
+    live = cut(every.select("*", F.col("src").alias("a"), F.col("dst").alias("b")))
+    names = g.vertices.select("id", F.col("id").alias("rep")) if driver == "topo" else None
     chosen: DataFrame | None = None
     key = F.struct("weight", "eid")
     while not live.isEmpty():
@@ -41,8 +47,17 @@ def mst(g: Graph, style: str = "edge") -> DataFrame:
         chosen = cut(round_ if chosen is None else chosen.union(round_))
         roots = _roots(least.select("rep", "to"))
         of = lambda end: roots.select(F.col("rep").alias(end), F.col("root").alias(f"{end}_root"))
-        moved = live.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
-        live = cut(moved.select("eid", "src", "dst", "weight", F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        before = live
+        if names is None:
+            moved = live.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+            live = cut(moved.select("eid", "src", "dst", "weight", F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        else:
+            renamed = names.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
+            old, names = names, cut(renamed)
+            release(old)
+            end = lambda c, to: names.select(F.col("id").alias(c), F.col("rep").alias(to))
+            live = cut(every.join(end("src", "a"), "src").join(end("dst", "b"), "dst").where("a <> b").select("eid", "src", "dst", "weight", "a", "b"))
+        release(before)
     if chosen is None:
         return g.upper()
     return g.edges.join(chosen, "eid", "left_semi")

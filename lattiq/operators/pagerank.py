@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, degrees
-from ..plans.iterate import cut
+from ..plans.iterate import cut, release
 
 DAMPING, EPSILON, MAX_ITER = 0.85, 1e-4, 100
 
@@ -28,7 +28,9 @@ def pagerank(g: Graph, style: str = "push", damping: float = DAMPING, epsilon: f
     for i in range(1, max_iter + 1):
         after = cut(one_step(g, scores, style, damping))
         change = after.agg(F.sum("change")).first()[0] or 0.0
-        scores = after.drop("change")
+        release(scores)
+        scores = after.select("id", "degree", "score")
+        scores.lattiq_path = after.lattiq_path
         if change < epsilon:
             return scores, i
     return scores, max_iter

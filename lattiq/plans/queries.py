@@ -16,6 +16,7 @@ from . import variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 SOURCE = 0
+DATA_DRIVEN = {"mis_v_data_push": "push", "mis_v_data_pull": "pull", "mis_e_data": "edge"}
 
 
 def _on(name: str, f: Callable[[G.Graph], DataFrame]) -> Query:
@@ -31,6 +32,7 @@ def _graph_queries() -> dict[str, Query]:
         "max_degree": _on("part", lambda g: G.degrees(g).agg(F.max("degree").alias("max_degree"))),
         "edge_sp": _on("part", lambda g: g.edges.select("eid", "src", "dst")),
         "edge_weight": _on("part", lambda g: g.edges.select("src", "dst", "weight")),
+        "adj_lists": _on("part", lambda g: g.adjacency().select("id", F.array_join(F.transform("nbrs", lambda v: v.cast("string")), ",").alias("nbrs"))),
         "adj_sorted_check": _on("part", lambda g: G.is_sorted(g.adjacency())),
         "symmetric_check": _on("part", lambda g: G.is_symmetric(g.edges)),
         "mis_priority": _on("part", lambda g: g.vertices.select("id", mis_priority(F.col("id")).alias("u32"), mis_priority(F.col("id"), "s32").alias("s32"), mis_priority(F.col("id"), "u32_mod1000").alias("mod1000"))),
@@ -39,12 +41,18 @@ def _graph_queries() -> dict[str, Query]:
         "cc_count": _on("part", lambda g: relax.component_count(relax.cc(g))),
         "tc_v": _on("part", triangles.count_by_vertex),
         "tc_e": _on("part", triangles.count_by_edge),
-        "pr_residual": _on("part", lambda g: pagerank.residual(g, pagerank.pagerank(g)[0]).select("good")),
+        "pr_residual": _on("part", lambda g: pagerank.residual(g, pagerank.pagerank(g)[0]).select(F.round("residual", 9).alias("residual"), "good")),
+        "cc_hook": _on("part", relax.cc_hook),
         "mis_size": _on("part", lambda g: mis.size_of(mis.mis(g))),
         "mis_s32": _on("part", lambda g: mis.mis(g, mode="s32")),
         "mis_mod1000": _on("part", lambda g: mis.mis(g, mode="u32_mod1000")),
+        "mis_u64": _on("part", lambda g: mis.mis(g, mode="u64")),
+        "mis_u64_mod": _on("part", lambda g: mis.mis(g, mode="u64_mod")),
         "mst_v": _on("supp", lambda g: mst.mst(g, "vertex")),
         "mst_e": _on("supp", lambda g: mst.mst(g, "edge")),
+        "mst_v_topo": _on("supp", lambda g: mst.mst(g, "vertex", "topo")),
+        "mst_e_topo": _on("supp", lambda g: mst.mst(g, "edge", "topo")),
+        "mst_part": _on("part", lambda g: mst.total(mst.mst(g))),
         "mst_total": _on("supp", lambda g: mst.total(mst.mst(g))),
     }
     for style in relax.STYLES:
@@ -55,6 +63,8 @@ def _graph_queries() -> dict[str, Query]:
         found[f"pr_{style}"] = _on("part", lambda g, s=style: pagerank.pagerank(g, s)[0].select("id", F.round("score", 8).alias("score")))
     for name, style in (("mis_v_push", "push"), ("mis_v_pull", "pull"), ("mis_e", "edge")):
         found[name] = _on("part", lambda g, s=style: mis.mis(g, s))
+    for name, style in DATA_DRIVEN.items():
+        found[name] = _on("part", lambda g, s=style: mis.mis_data(g, s))
     found |= {
         "gen_grid": lambda spark, _: generators.grid(spark, 2, 7),
         "gen_torus": lambda spark, _: generators.torus(spark, 2, 5),
@@ -96,7 +106,7 @@ S as (select V.v as id, cast(b.d as bigint) as {value} from V left join b using
 
 def _mis(priority: str) -> str:
     return f"""{_prefix("part")},
-P(v, p) as (select v, {priority} from (select v, {_hash("v + 712313887")} as h from V)),
+P(v, p) as (select v, {priority} from (select v, {_hash("v + 712313887")} as h, {_hash("v + 683067839")} as h2 from V)),
 HI(u, v) as (select E.u, E.v from E join P a on a.v = E.u join P b on b.v = E.v where (b.p, b.v) > (a.p, a.v)),
 m(i, v, st) as (select 0, v, 0 from V union all select i + 1, v,
   case when st <> 0 then st when inc then 2 when nund then 0 else 1 end from (
@@ -140,7 +150,8 @@ S as (select W.eid, W.u as src, W.v as dst, W.w as weight from W join mm on mm.s
         "max_degree": f"{base} select cast(max(deg) as bigint) as max_degree from D",
         "edge_sp": f"{base} select cast(eid as bigint) as eid, u as src, v as dst from W",
         "edge_weight": f"{base} select u as src, v as dst, cast(w as bigint) as weight from W",
-        "adj_sorted_check": "select true as sorted",
+        "adj_lists": f"{base} select u as id, string_agg(cast(v as varchar), ',' order by v) as nbrs from E group by 1",
+        "adj_sorted_check": f"{base}, L as (select u, list(v order by eid) as l from W group by 1) select coalesce(bool_and(l = list_sort(list_distinct(l))), true) as sorted from L",
         "symmetric_check": f"{base} select count(*) = 0 as symmetric from E a left join E b on a.u = b.v and a.v = b.u where b.u is null",
         "mis_priority": f"{base} select v as id, {hashed} as u32, {signed(f'({hashed})')} as s32, ({hashed}) % 1000 as mod1000 from V",
         "bfs_farthest": f"{bfs} {farthest}",
@@ -148,7 +159,15 @@ S as (select W.eid, W.u as src, W.v as dst, W.w as weight from W join mm on mm.s
         "cc_count": f"{cc} select count(distinct label) as components from S",
         "tc_v": tri,
         "tc_e": tri,
-        "pr_residual": "select true as good",
+        "pr_residual": f"""{rank},
+R as (select S.v, abs(0.15::double / n + 0.85::double * coalesce(q.x, 0) - S.s) as d from S cross join N left join
+  (select E.v v, sum(S.s / D.deg) x from S join D on D.u = S.v join E on E.u = S.v group by 1) q on q.v = S.v)
+select round(sum(d), 9) as residual, sum(d) < 0.0001 as good from R""",
+        "cc_hook": f"{cc} select id, label from S",
+        "mis_u64": f"{_mis('cast(h2 as hugeint) * 4294967296 + h')} select * from S",
+        "mis_u64_mod": f"{_mis('h | ((h2 % 1000) * 296 % 1000)')} select * from S",
+        "mst_v_topo": forest_rows,
+        "mst_e_topo": forest_rows,
         "mis_size": f"{_mis('h')} select count(*) filter (status = 1) as members, round(100.0::double * count(*) filter (status = 1) / count(*), 8) as percent from S",
         "mis_s32": f"{_mis(signed('h'))} select * from S",
         "mis_mod1000": f"{_mis('h % 1000')} select * from S",
@@ -167,6 +186,6 @@ S as (select W.eid, W.u as src, W.v as dst, W.w as weight from W join mm on mm.s
         found[f"cc_{style}"] = f"{cc} select id, label from S"
     for style in ("push", "pull"):
         found[f"pr_{style}"] = f"{rank} select v as id, round(s, 8) as score from S"
-    for name in ("mis_v_push", "mis_v_pull", "mis_e"):
+    for name in ("mis_v_push", "mis_v_pull", "mis_e", *DATA_DRIVEN):
         found[name] = f"{_mis('h')} select * from S"
     return found

@@ -71,6 +71,7 @@ def _graph_queries() -> dict[str, Query]:
         "gen_star": lambda spark, _: generators.star(spark, 50, hub=3),
         "gen_all_possible": lambda spark, _: generators.all_possible(spark, 4),
         "variants_filter": lambda spark, _: variants.example(spark),
+        "variants_sections": lambda spark, _: variants.sections_example(spark),
     }
     return found
 
@@ -179,6 +180,7 @@ select round(sum(d), 9) as residual, sum(d) < 0.0001 as good from R""",
         "gen_star": "select cast(case when d then 3 else i end as bigint) as src, cast(case when d then i else 3 end as bigint) as dst from range(50) t(i), (values (true), (false)) s(d) where i <> 3",
         "gen_all_possible": generators.all_possible_sql(),
         "variants_filter": variants.EXAMPLE_SQL,
+        "variants_sections": variants.SECTIONS_SQL,
     }
     for style in relax.STYLES:
         found[f"bfs_{style}"] = f"{bfs} select id, dist from S"

@@ -10,7 +10,7 @@ from lattiq.plans import queries, variants
 from lattiq.streaming.incremental_cc import merge
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("graph_counts", "hist_in", "bfs_vdl", "sssp_et", "cc_vtl", "tc_v", "pr_pull", "mis_e", "mst_v_topo", "gen_torus", "variants_filter", "adj_lists", "adj_sorted_check", "pr_residual", "cc_hook", "mis_u64", "mis_u64_mod", "mis_v_data_pull")
+QUICK = ("graph_counts", "hist_in", "bfs_vdl", "sssp_et", "cc_vtl", "tc_v", "pr_pull", "mis_e", "mst_v_topo", "gen_torus", "variants_filter", "variants_sections", "adj_lists", "adj_sorted_check", "pr_residual", "cc_hook", "mis_u64", "mis_u64_mod", "mis_v_data_pull")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -51,6 +51,18 @@ def test_filter_language(spark):
         variants.read_configuration("bug: {all}")
 
 
+def test_sections(spark):
+    found = {r.tags: r for r in variants.sections_example(spark).collect()}
+    assert len(found) == 6 and not any("Top" in t for t in found)  # 12 less the four with Top and the two that suppress Eager with Low
+    assert found["Calm_FieldBug_High"].code == "high();\nrun() {\n  calm();\n  // FieldBug here\n  few();\n\n  // FieldBug here\n  }\n"
+    assert found["Eager_NoFieldBug_High"].code == "high();\nrun() {\n  eager();\n  all();\n\n}\n"
+    assert found["Calm_NoFieldBug_Low"].code == "low();\nrun() {\n  calm();\n  all();\n\n"
+    unused = variants.written(variants.expand(variants.templates(spark, {"A_C_E": "/*@X@*/ declare /*@Y@*/ declare\n/*@+Y@*/\ny\n/*@-Y@*/"})))
+    assert [r.tags for r in unused.collect()] == [["Y"]]  # nothing uses X
+    with pytest.raises(ValueError):
+        variants.body_of("/*@+X@*/\n/*@+Y@*/")
+
+
 def test_incremental_components(spark):
     pairs = lambda *p: spark.createDataFrame(list(p), "u long, v long")
     labels = merge(None, pairs((1, 2), (5, 6)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import wrap32
+from ..functions.hashing import hash32
 from ..graph import Graph
 from .relax import UNREACHED, relax
 
@@ -38,13 +38,10 @@ def mutant(g: Graph, source: int, label: str, kind: str = "hop", style: str = "v
     broken = faulty_graph(g, label)
     unset = F.lit(None).cast("long")
     start = broken.vertices.select("id", F.when(F.col("id") == source, F.lit(0).cast("long")).otherwise(unset).alias("val"))
-    if label == "OverflowBug":  # unreached vertices count as a huge number that wraps when a step is added
-        e = broken.edges.select("src", "dst").withColumn("val", wrap32(F.lit(UNREACHED).cast("long") + 1))
-        wrapped = e.where(F.col("src") != source).groupBy(F.col("dst").alias("id")).agg(F.min("val").alias("w"))
-        start = start.join(wrapped, "id", "left").select("id", F.coalesce("w", "val").alias("val"))
-        return start
-    if label == "UninitializedBug":  # everything already counts as visited
-        return start.where("val is not null").unionByName(start.where("val is null"))
+    if label == "OverflowBug":  # unreached vertices pass on a huge number too, and a step more wraps in 32 bits
+        start, kind = start.select("id", F.coalesce("val", F.lit(UNREACHED).cast("long")).alias("val")), f"{kind}32"
+    if label == "UninitializedBug":  # distances start with what the memory held, here a hash of the id below the number of vertices
+        start = start.select("id", F.coalesce("val", hash32(F.col("id")) % broken.n).alias("val"))
     if label == "LivelockBug":  # with every row taken each round, equal values keep replacing each other
         style = "vtp"
     combine = F.max if label == "RaceBug" else F.min  # a lost update: the larger write survives

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import wrap32
 from ..graph import Graph
 from ..plans.iterate import cut, release, until_unchanged
 
@@ -21,7 +22,10 @@ HUB = 4096
 
 
 def _value(kind: str) -> Column:
-    return {"hop": F.col("val") + 1, "weight": F.col("val") + F.col("weight"), "label": F.col("val")}[kind]
+    kinds = {"hop": F.col("val") + 1, "weight": F.col("val") + F.col("weight"), "label": F.col("val")}
+    # sums of 32 bits, for the mutants only
+    kinds |= {"hop32": wrap32(kinds["hop"]), "weight32": wrap32(kinds["weight"])}
+    return kinds[kind]
 
 
 def relax(

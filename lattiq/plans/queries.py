@@ -23,6 +23,36 @@ def _on(name: str, f: Callable[[G.Graph], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(graph(spark, sf_dir, name))
 
 
+FAULTS = ("repeats", "loops", "outside", "one_way")
+SIMPLE = {name: 0 for name in FAULTS}
+
+
+def _of_kind(graph_edges: DataFrame, n: int, /, **checks: str) -> DataFrame:
+    """The faults of a generated graph (all 0 in a simple undirected one) and the named expressions over its facts; ``parts``
+    is its number of components."""
+    found = generators.facts(graph_edges, n)
+    if any("parts" in c for c in checks.values()):
+        g = G.Graph.from_pairs(graph_edges.sparkSession.range(n), graph_edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        found = found.crossJoin(relax.component_count(relax.cc_hook(g)).withColumnRenamed("components", "parts"))  # one row each
+    return found.select(*FAULTS, *[F.expr(c).alias(name) for name, c in checks.items()])
+
+
+def _lattice_degrees(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("src").count().groupBy(F.col("count").alias("degree")).agg(F.count(F.lit(1)).alias("vertices"))
+
+
+#: Random generators: the query, and the values that its row must have.
+RANDOM = {
+    "gen_rand_neighbor": (lambda s: _of_kind(generators.random_neighbour(s, 300, 5), 300, in_bounds="edges between 300 and 600"), {"in_bounds": True}),
+    "gen_uniform_degree": (lambda s: _of_kind(generators.uniform_degree(s, 200, 900, 5), 200, edges="edges"), {"edges": 1800}),
+    "gen_power_law": (lambda s: _of_kind(generators.power_law(s, 200, 700, 5), 200, edges="edges", low_ids="linked < 160"), {"edges": 1400, "low_ids": True}),
+    "gen_binary_tree": (lambda s: _of_kind(generators.binary_tree(s, 150, 5), 150, edges="edges", parts="parts", narrow="max_degree <= 3"), {"edges": 298, "parts": 1, "narrow": True}),
+    "gen_binary_forest": (lambda s: _of_kind(generators.binary_forest(s, 150, 5), 150, cycles="edges div 2 + parts - 150", narrow="max_degree <= 3"), {"cycles": 0, "narrow": True}),
+    "gen_simple_planar": (lambda s: _of_kind(generators.simple_planar(s, 150, 5), 150, parts="parts", sparse="edges div 2 between 149 and 3 * 150 - 6"), {"parts": 1, "sparse": True}),
+    "gen_k_max_degree": (lambda s: _of_kind(generators.k_max_degree(s, 150, 6, 5), 150, narrow="max_degree <= 6", linked="linked > 75"), {"narrow": True, "linked": True}),
+}
+
+
 def _graph_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "graph_counts": _on("part", G.counts),
@@ -68,11 +98,14 @@ def _graph_queries() -> dict[str, Query]:
     found |= {
         "gen_grid": lambda spark, _: generators.grid(spark, 2, 7),
         "gen_torus": lambda spark, _: generators.torus(spark, 2, 5),
+        "gen_rand_grid": lambda spark, _: _lattice_degrees(generators.random_grid(spark, 2, 9, 5)),
+        "gen_rand_torus": lambda spark, _: _lattice_degrees(generators.random_torus(spark, 2, 6, 5)),
         "gen_star": lambda spark, _: generators.star(spark, 50, hub=3),
         "gen_all_possible": lambda spark, _: generators.all_possible(spark, 4),
         "variants_filter": lambda spark, _: variants.example(spark),
         "variants_sections": lambda spark, _: variants.sections_example(spark),
     }
+    found |= {name: lambda spark, _, f=f: f(spark) for name, (f, _) in RANDOM.items()}
     return found
 
 
@@ -177,6 +210,8 @@ select round(sum(d), 9) as residual, sum(d) < 0.0001 as good from R""",
         "mst_total": f"{forest} select count(*) as edges, cast(sum(weight) as bigint) as weight from S",
         "gen_grid": generators.grid_sql(7, False),
         "gen_torus": generators.grid_sql(5, True),
+        "gen_rand_grid": f"select degree, count(*) as vertices from (select src, count(*) as degree from ({generators.grid_sql(9, False)}) group by 1) group by 1",
+        "gen_rand_torus": f"select degree, count(*) as vertices from (select src, count(*) as degree from ({generators.grid_sql(6, True)}) group by 1) group by 1",
         "gen_star": "select cast(case when d then 3 else i end as bigint) as src, cast(case when d then i else 3 end as bigint) as dst from range(50) t(i), (values (true), (false)) s(d) where i <> 3",
         "gen_all_possible": generators.all_possible_sql(),
         "variants_filter": variants.EXAMPLE_SQL,
@@ -188,6 +223,9 @@ select round(sum(d), 9) as residual, sum(d) < 0.0001 as good from R""",
         found[f"cc_{style}"] = f"{cc} select id, label from S"
     for style in ("push", "pull"):
         found[f"pr_{style}"] = f"{rank} select v as id, round(s, 8) as score from S"
+    for name, (_, values) in RANDOM.items():
+        literal = lambda v: str(v).lower() if isinstance(v, bool) else f"cast({v} as bigint)"
+        found[name] = "select " + ", ".join(f"{literal(v)} as {c}" for c, v in (SIMPLE | values).items())
     for name in ("mis_v_push", "mis_v_pull", "mis_e", *DATA_DRIVEN):
         found[name] = f"{_mis('h')} select * from S"
     return found

@@ -8,6 +8,7 @@ Grids, stars, random neighbours and random edges are plans over ``range``; famil
 from __future__ import annotations
 
 import random
+from collections import deque
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,8 @@ def _random_edges(spark: SparkSession, n: int, m: int, end: Column, other: Colum
         if seen.count() >= m:
             break
         tries *= 4
+    else:
+        raise ValueError(f"these ends do not give {m} distinct edges on {n} vertices")
     return both_ways(seen.orderBy("id").limit(m).select("src", "dst"))
 
 
@@ -145,13 +148,13 @@ def binary_tree(spark: SparkSession, n: int, seed: int) -> DataFrame:
 
 def binary_forest(spark: SparkSession, n: int, seed: int, p: float = 0.8) -> DataFrame:
     """Vertices in breadth-first order get each of two children with probability p, so that trees may end early."""
-    rng, names, pairs, queue, used = random.Random(seed), list(range(n)), set(), [], 0
+    rng, names, pairs, queue, used = random.Random(seed), list(range(n)), set(), deque(), 0
     rng.shuffle(names)
     while used < n:
         if not queue:
             queue.append(used)
             used += 1
-        at = queue.pop(0)
+        at = queue.popleft()
         for _ in range(2):
             if used < n and rng.random() < p:
                 pairs.add((names[at], names[used]))
@@ -171,6 +174,23 @@ def simple_planar(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return _local(spark, {(min(a, b), max(a, b)) for a, b in pairs})
 
 
+def facts(edges: DataFrame, n: int) -> DataFrame:
+    """One row: edges (both directions), vertices with an edge, largest degree, and what a simple undirected graph has none of."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    count = F.count(F.lit(1))
+    return (
+        edges.agg(
+            count.alias("edges"),
+            (count - F.count_distinct("src", "dst")).alias("repeats"),
+            F.count_if(F.col("src") == F.col("dst")).alias("loops"),
+            F.count_if(~F.col("src").between(0, n - 1) | ~F.col("dst").between(0, n - 1)).alias("outside"),
+        )
+        .crossJoin(edges.join(back, ["src", "dst"], "left_anti").agg(count.alias("one_way")))
+        .crossJoin(degrees.agg(count.alias("linked"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree")))
+    )  # one row each
+
+
 def grid_sql(size: int, wrap: bool) -> str:
     """Two-dimensional grid or torus in SQL."""
     right, down = (f"(x + 1) % {size}", f"(y + 1) % {size}") if wrap else ("x + 1", "y + 1")

@@ -10,7 +10,7 @@ from lattiq.plans import queries, variants
 from lattiq.streaming.incremental_cc import merge
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("graph_counts", "hist_in", "bfs_vdl", "sssp_et", "cc_vtl", "tc_v", "pr_pull", "mis_e", "mst_v_topo", "gen_torus", "variants_filter", "variants_sections", "adj_lists", "adj_sorted_check", "pr_residual", "cc_hook", "mis_u64", "mis_u64_mod", "mis_v_data_pull")
+QUICK = ("graph_counts", "hist_in", "bfs_vdl", "sssp_et", "cc_vtl", "tc_v", "pr_pull", "mis_e", "mst_v_topo", "gen_torus", "variants_filter", "variants_sections", "adj_lists", "adj_sorted_check", "pr_residual", "cc_hook", "mis_u64", "mis_u64_mod", "mis_v_data_pull", "gen_rand_grid", "gen_rand_torus", *queries.RANDOM)
 
 
 @pytest.mark.parametrize("name", QUICK)

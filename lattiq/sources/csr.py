@@ -102,16 +102,18 @@ def read_folder(spark: SparkSession, folder: str) -> dict[str, Graph]:
 
 
 def write(g: Graph, path: str, weights: bool = True) -> None:
-    """Write a graph; edges go out sorted by (src, dst)."""
+    """Write a graph; edges go out sorted by (src, dst).  The format holds less than 2**31 of them."""
     degrees = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    offsets = np.zeros(g.n + 1, np.int32)
+    offsets = np.zeros(g.n + 1, np.int64)
     for row in degrees.toLocalIterator():
         offsets[row.src + 1] = row.n
     np.cumsum(offsets, out=offsets)
     edges = int(offsets[-1])
+    if max(edges, g.n) >= 2**31:
+        raise OverflowError(f"{g.n} vertices and {edges} edges do not fit the format")
     with open(path, "wb") as out:
         np.array([g.n, edges], np.int32).tofile(out)
-        offsets.tofile(out)
+        offsets.astype(np.int32).tofile(out)
         blocks = [np.empty(edges, np.int32), np.empty(edges, np.int32)]
         for i, row in enumerate(g.edges.orderBy("src", "dst").select("dst", "weight").toLocalIterator()):
             blocks[0][i], blocks[1][i] = row.dst, row.weight or 0

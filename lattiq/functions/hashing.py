@@ -16,8 +16,10 @@ def wrap32(x: Column) -> Column:
     return F.shiftright(F.shiftleft(x, 32), 32)
 
 
-def edge_weight(src: Column, dst: Column, n: int) -> Column:
-    return F.abs(1 + wrap32(src * dst) % F.lit(n)).cast("long")
+def edge_weight(src: Column, dst: Column, n: int, bits: int = 32) -> Column:
+    """The generated weight, from the ids' product as ints of 32 bits wrap it or, with ``bits=64``, from the whole product (at least 1, at most n)."""
+    product = src * dst
+    return F.abs(1 + (wrap32(product) if bits == 32 else product) % F.lit(n)).cast("long")
 
 
 def hash32(x: Column) -> Column:

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = ("graph_counts", "hist_in", "bfs_vdl", "sssp_et", "cc_vtl", "tc_v", "pr_pull", "mis_e", "mst_v_topo", "gen_torus", "variants_filter", "variants_sections", "adj_lists", "adj_sorted_check", "pr_residual", "cc_hook", "mis_u64", "mis_u64_mod", "mis_v_data_pull", "gen_rand_grid", "gen_rand_torus", *queries.RANDOM)
 
 #: Queries whose results hang on generated weights.
-WIDE = ("sssp_ed", "sssp_vdp", "sssp_vtp", "edge_weight", "sssp_et", "sssp_vdl")
+WIDE = ("sssp_ed", "sssp_vdp", "sssp_vtp", "edge_weight", "sssp_et", "sssp_vdl", "sssp_vtl")
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -7,7 +7,9 @@ switch labels every word, which gives spans; the document's language is the one
 
 Most documents need no decoding: where no stretch of words gains more than half a penalty in any other language
 over the best single one, the single language is the best path (each excursion would cost more than it gains).  The others
-are decoded together, a step for all of them at a time.
+are decoded together, a step for all of them at a time; each step keeps its totals only, and the paths follow from these run by run.
+
+Tokens are taken apart many at a time, and words with the same letters are scored once.
 
 Learned from at most about ``PER_LANGUAGE`` documents per language (those with the smallest hashes), counted on the executors.
 
@@ -18,6 +20,7 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
@@ -38,8 +41,8 @@ PENALTY = 12.0
 MEMO = 200_000
 #: Letters of a word; tokens with more are cut into several words.
 LONGEST_WORD = 40
-#: Letters that are scored, or words that are counted, at a time.
-LETTERS_AT_ONCE, COUNTED_AT_ONCE = 1 << 18, 1 << 16
+#: Letters that are scored, words that are counted, tokens that are taken apart, words that are decoded (a document's together), at a time.
+LETTERS_AT_ONCE, COUNTED_AT_ONCE, TOKENS_AT_ONCE, DECODED_AT_ONCE = 1 << 18, 1 << 16, 1 << 14, 1 << 17
 FOLDS, HELD_FOLD = 4, 2
 UNKNOWN = "und"
 #: First code points of script ranges (fixed values of the Unicode block table) and the script from there on.
@@ -75,8 +78,36 @@ class Kinds(dict):
         return kind
 
 
-GLUE, BREAK = -1, -2
+GLUE, BREAK, UNSEEN = -1, -2, -3
 KINDS = Kinds()
+#: The same by code point, as far as they were met.
+KIND_OF = np.full(sys.maxunicode + 1, UNSEEN, np.int8)
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def kinds_of(points: np.ndarray) -> np.ndarray:
+    kinds = KIND_OF[points]
+    if (kinds == UNSEEN).any():
+        for point in np.unique(points[kinds == UNSEEN]).tolist():
+            KIND_OF[point] = KINDS[chr(point)]
+        kinds = KIND_OF[points]
+    return kinds
+
+
+def letters_in(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+    """``letters_of`` of each token (tokens hold no line ends), and whether ``words_in`` cuts it."""
+    points = points_of("\n".join([*tokens, ""]))
+    kinds = kinds_of(points)
+    letter, end = kinds >= 0, points == ord("\n")
+    starts = np.append(0, np.flatnonzero(end) + 1)[:-1]
+    lowest, highest = np.minimum.reduceat(np.where(letter, kinds, np.int8(127)), starts), np.maximum.reduceat(kinds, starts)
+    cut = (lowest < highest) & (highest >= 0) | (np.add.reduceat(letter, starts, dtype=np.int64) > LONGEST_WORD)
+    # line ends are neither letters nor marks, so that no letter is lowered by what is in another token
+    letters = points[letter | end].tobytes().decode("utf-32-le", "surrogatepass").lower()
+    return letters.split("\n")[:-1], cut
 
 
 def words_in(token: str) -> list[str]:
@@ -84,7 +115,7 @@ def words_in(token: str) -> list[str]:
     where the script changes, a long one also at punctuation and then into words of even lengths.  Together they are the token."""
     if len(token) <= LONGEST_WORD and token.isascii():
         return [token]
-    kinds = np.fromiter(map(KINDS.__getitem__, token), np.int64, len(token))
+    kinds = kinds_of(points_of(token))
     at = np.flatnonzero(kinds >= 0)  # the letters
     if not len(at):
         return [token]
@@ -107,9 +138,8 @@ def words_in(token: str) -> list[str]:
 def gram_buckets(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Per n-gram length the bucket of every window over the words with their ends marked (``BUCKETS`` where a
     window leaves its word), and where each word starts."""
-    marked = [f"^{w}$" for w in words]
-    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(m) for m in marked], np.int64)
+    points = points_of(f"^{'$^'.join(words)}$")
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(lengths) - lengths
     left = np.repeat(starts + lengths, lengths) - np.arange(len(points))
     hashed, found = np.zeros(len(points), np.uint32), []
@@ -131,51 +161,58 @@ class Model:
         """Scores per language of words of letters; a language that the script rules out gets far less than any candidate."""
         found, starts = gram_buckets(words)
         scores = sum(np.add.reduceat(self.table[b], starts, axis=0) for b in found) / LONGEST
-        candidates = self.allowed[[script_of(w[0]) for w in words]]
+        candidates = self.allowed[[KINDS[w[0]] for w in words]]
         candidates[~candidates.any(1)] = True
         least = np.where(candidates, scores, np.inf).min(1, keepdims=True)
         return np.where(candidates, scores, least - 2 * PENALTY)
 
 
 class Words(dict):
-    """token -> row of ``scores`` and ``weights`` (its letters); row 0 is that of tokens without letters.  A token that is cut
-    has the row -1 - i, its words are ``cut[i]``."""
+    """token -> row of ``scores`` and ``weights`` (its letters), the same for tokens of the same letters; row 0 is that of tokens
+    without letters.  A token that is cut has the row -1 - i, its words are ``cut[i]``."""
 
     def __init__(self, model: Model):
         self.model = model
         self.scores, self.weights, self.used = np.zeros((1024, len(model.languages))), np.zeros(1024), 1
+        self.row_of = {"": 0}  # by letters
         self.cut: list[list[str]] = []
         self.held = 0  # characters of the tokens
 
     def learn(self, token_lists: list[list[str]]) -> None:
         """Give a row to every token that has none yet."""
-        if self.used > MEMO or self.held > MEMO * LONGEST_WORD:
+        if len(self) > MEMO or self.held > MEMO * LONGEST_WORD:
             self.clear()
             self.cut.clear()
+            self.row_of = {"": 0}
             self.used, self.held = 1, 0
-        new = set().union(*token_lists).difference(self)
-        uncut = set()
-        for t in new:
-            own = words_in(t)
-            self.held += len(t)
-            if len(own) > 1:
-                self.cut.append(own)
-                self[t] = -len(self.cut)
-                uncut.update(own)
-            else:
-                uncut.add(t)
-        uncut.difference_update(self)
-        words = [(t, w) for t, w in ((t, letters_of(t)) for t in uncut) if w]
-        self.update(dict.fromkeys(uncut, 0))
+        new = list(set().union(*token_lists).difference(self))
+        for at in range(0, len(new), TOKENS_AT_ONCE):
+            tokens = new[at : at + TOKENS_AT_ONCE]
+            self.held += sum(map(len, tokens))
+            letters, cut = letters_in(tokens)
+            if cut.any():
+                whole = [(t, w) for t, w, c in zip(tokens, letters, cut.tolist(), strict=True) if not c]
+                for i in np.flatnonzero(cut).tolist():
+                    own = words_in(tokens[i])
+                    self.cut.append(own)
+                    self[tokens[i]] = -len(self.cut)
+                    whole += [(w, letters_of(w)) for w in own if w not in self]
+                tokens, letters = [t for t, _ in whole], [w for _, w in whole]
+            self.add(letters)
+            self.update(zip(tokens, map(self.row_of.__getitem__, letters), strict=True))
+
+    def add(self, words: list[str]) -> None:
+        """Score the words of letters that have no row yet."""
+        words = list(set(words).difference(self.row_of))
         while self.used + len(words) > len(self.weights):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
         for at in range(0, len(words), LETTERS_AT_ONCE // LONGEST_WORD):
             some = words[at : at + LETTERS_AT_ONCE // LONGEST_WORD]
             rows = slice(self.used, self.used + len(some))
-            self.scores[rows] = self.model.word_scores([w for _, w in some])
-            self.weights[rows] = [len(w) for _, w in some]
-            self.update(zip((t for t, _ in some), range(rows.start, rows.stop), strict=True))
+            self.scores[rows] = self.model.word_scores(some)
+            self.weights[rows] = [len(w) for w in some]
+            self.row_of.update(zip(some, range(rows.start, rows.stop), strict=True))
             self.used = rows.stop
 
     def rows(self, tokens: list[str]) -> tuple[list[str], np.ndarray]:
@@ -186,6 +223,7 @@ class Words(dict):
         tokens = [w for t, row in zip(tokens, found.tolist(), strict=True) for w in (self.cut[-1 - row] if row < 0 else (t,))]
         return tokens, np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
+
 def needs_decoding(scores: np.ndarray, best: int, penalty: float) -> bool:
     """Could an excursion from the best single language pay? (Largest gain of any stretch in any language.)"""
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
@@ -195,34 +233,50 @@ def needs_decoding(scores: np.ndarray, best: int, penalty: float) -> bool:
 
 def decode(all_scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """Viterbi paths of several documents, a step of all of them at a time (longest first, so that ended ones drop off)."""
+    if not sum(map(len, all_scores)):
+        return [np.empty(0, np.int64)] * len(all_scores)
     order = sorted(range(len(all_scores)), key=lambda i: -len(all_scores[i]))
     lengths = np.array([len(all_scores[i]) for i in order])
-    n = all_scores[0].shape[1] if all_scores else 1
-    total, back = np.zeros((len(order), n)), []
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        active = int(np.searchsorted(-lengths, -t, "left"))
-        now = total[:active]
-        top = now.argmax(1)
-        switch = now[np.arange(active), top] - penalty
-        stay = now >= switch[:, None]
-        back.append(np.where(stay, np.arange(n), top[:, None]).astype(np.int16) if t else None)
-        step = np.stack([all_scores[i][t] for i in order[:active]])
-        total[:active] = (np.where(stay, now, switch[:, None]) if t else now) + step
+    starts = np.cumsum(lengths) - lengths
+    words = np.arange(lengths.sum()) - np.repeat(starts, lengths)  # the number of each word in its document
+    by_step = np.argsort(words, kind="stable")
+    step = np.concatenate([all_scores[i] for i in order])[by_step]
+    ends = np.cumsum(np.bincount(words)).tolist()
+    # from here on ``step`` holds the totals: of the paths that end with this word in this language
+    before, a = 0, ends[0]
+    for b in ends[1:]:
+        old, now = step[before : before + b - a], step[a:b]
+        switch = np.maximum.reduce(old, axis=1, keepdims=True)
+        switch -= penalty
+        now += np.maximum(old, switch)
+        before, a = a, b
+    total = np.empty_like(step)
+    total[by_step] = step
+    top = total.argmax(1)
+    stay = total >= total.max(1, keepdims=True) - penalty
+    # by word and language, the last word up to here after which a path in this language comes from another
+    left = np.maximum.accumulate(np.where(stay, -1, np.arange(len(total))[:, None]), axis=0)
     paths: list[np.ndarray] = [np.empty(0, np.int64)] * len(order)
-    for place, i in enumerate(order):
-        path = np.empty(lengths[place], np.int64)
-        state = int(total[place].argmax())
-        for t in range(lengths[place] - 1, -1, -1):
-            path[t] = state
-            if t:
-                state = int(back[t][place, state])
+    for i, start, length in zip(order, starts.tolist(), lengths.tolist(), strict=True):
+        path, at = np.empty(length, np.int64), start + length - 1
+        while at >= start:
+            state = top[at]
+            switched = max(int(left[at - 1, state]), start - 1) if at > start else start - 1
+            path[switched + 1 - start : at + 1 - start] = state
+            at = switched
         paths[i] = path
     return paths
 
 
 def label_words(texts: list[str | None], model: Model, words: Words, penalty: float = PENALTY):
     """(words, labels, weights) per text; labels index the model's languages."""
-    out, open_ = [], []
+    out, open_, waiting = [], [], 0
+
+    def close() -> None:
+        for (i, _), path in zip(open_, decode([s for _, s in open_], penalty), strict=True):
+            out[i][1] = path
+        open_.clear()
+
     split = [t.split() if t else [] for t in texts]
     words.learn(split)
     for i, tokens in enumerate(split):
@@ -232,10 +286,11 @@ def label_words(texts: list[str | None], model: Model, words: Words, penalty: fl
         out.append([tokens, np.full(len(tokens), best), weights])
         if len(tokens) and needs_decoding(scores, best, penalty):
             open_.append((i, scores))
-    for at in range(0, len(open_), 256):
-        some = open_[at : at + 256]
-        for (i, _), path in zip(some, decode([s for _, s in some], penalty), strict=True):
-            out[i][1] = path
+            waiting += len(tokens)
+            if waiting > DECODED_AT_ONCE:
+                close()
+                waiting = 0
+    close()
     return out
 
 
@@ -255,6 +310,19 @@ def spans_of(text: str, tokens: list[str], labels: np.ndarray, languages: list[s
     return spans
 
 
+def counted_words(tokens: Counter) -> Iterator[tuple[str, int]]:
+    """The words of letters in counted tokens, and how often each is there (a word may come several times)."""
+    pairs = list(tokens.items())
+    for at in range(0, len(pairs), TOKENS_AT_ONCE):
+        some = pairs[at : at + TOKENS_AT_ONCE]
+        letters, cut = letters_in([t for t, _ in some])
+        for (token, times), own, is_cut in zip(some, letters, cut.tolist(), strict=True):
+            if is_cut:
+                yield from ((letters_of(w), times) for w in words_in(token))
+            else:
+                yield own, times
+
+
 def fold_of(key: str):
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
 
@@ -290,10 +358,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     used[script_of(word[0]), j] += n_word
 
         for b in scratch.pieces_of(batches):
+            tokens = {name: Counter() for name in languages}
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[name].update(letters_of(w) for token in t.split() for w in words_in(token))
-                if len(seen[name]) > COUNTED_AT_ONCE:
-                    add(languages.index(name), seen[name])
+                tokens[name].update(t.split())
+            for j, name in enumerate(languages):
+                for w, n_word in counted_words(tokens.pop(name)):
+                    seen[name][w] += n_word
+                    if len(seen[name]) > COUNTED_AT_ONCE:
+                        add(j, seen[name])
         for j, name in enumerate(languages):
             add(j, seen[name])
         if used.any():

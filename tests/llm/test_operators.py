@@ -616,6 +616,49 @@ def test_language_reads_all_of_unspaced_text(spark):
     assert language_id.words_in("don't") == ["don't"]
 
 
+def test_language_scores_words_of_the_same_letters_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    languages, scripts = ["de", "en"], len(language_id.NAMES)
+    table = np.vstack([rng.normal(-9, 1, (language_id.BUCKETS, 2)), np.zeros((1, 2))])
+    model = language_id.Model(languages, table, np.ones((scripts, 2), bool))
+    scored, plain = [], language_id.gram_buckets
+    monkeypatch.setattr(language_id, "gram_buckets", lambda words: scored.extend(words) or plain(words))
+    texts = ["Wasser, Haus", "(wasser) HAUS! --", "haus; 'Wasser' 12 x中y", "ΟΔΟΣ ΑΣ-Α İ. " + "wasser," * 9]
+    words = language_id.Words(model)
+    language_id.label_words(texts, model, words)
+    assert sorted(scored) == sorted(set(scored)) and {"wasser", "haus", "x", "中", "y"} < set(scored)
+    assert len(words.row_of) == words.used == len(scored) + 1
+    for token in [t for text in texts for t in text.split()]:
+        for word, row in zip(*words.rows([token]), strict=True):
+            own = language_id.letters_of(word)
+            assert words.weights[row] == len(own) and (not own or words.scores[row].tolist() == model.word_scores([own])[0].tolist())
+
+
+def test_language_takes_tokens_apart_together_as_alone():
+    rng = random.Random(6)
+    signs = "abcXYZéßΣσςΑΟΔ'’.,-0|中文日本เरनाЖжİıȺ\u0301\u200d\xad"
+    tokens = ["".join(rng.choice(signs) for _ in range(rng.choice([1, 2, 3, 5, 8, 40, 41, 90]))) for _ in range(4000)]
+    letters, cut = language_id.letters_in(tokens)
+    assert letters == [language_id.letters_of(t) for t in tokens]
+    assert cut.tolist() == [len(language_id.words_in(t)) > 1 for t in tokens]
+
+
+def test_viterbi_of_documents_of_all_lengths_together_as_alone():
+    rng = np.random.default_rng(7)
+    docs = [np.round(rng.normal(0, 4, (n, 3)), 1) for n in [0, 1, 700, 2, 0, 33, 33, 5]]
+    for scores, path in zip(docs, language_id.decode(docs, 3.0), strict=True):
+        total, back = np.zeros(3), []
+        for row in scores:  # ties: stay, then the first language
+            top = int(total.argmax())
+            back.append([s if not back or total[s] >= total[top] - 3.0 else top for s in range(3)])
+            total = np.array([total[b] - (0.0 if b == s else 3.0) for s, b in enumerate(back[-1])]) + row
+        state, alone = int(total.argmax()), []
+        for step in reversed(back):
+            alone.append(state)
+            state = step[state]
+        assert path.tolist() == alone[::-1]
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
